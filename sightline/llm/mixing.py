@@ -172,13 +172,13 @@ def mix(docs: DataFrame, source: Column | None = None, weights: tuple[float, ...
     extra = F.when(F.col("want") <= 0, False).when(F.col("lo1").isNull() | (bin1 < F.col("lo1")), True).when(bin1 > F.col("lo1"), False)
     extra = extra.when(F.col("lo2").isNull() | (bin2 < F.col("lo2")), True).when(bin2 > F.col("lo2"), False).otherwise(F.coalesce(place <= F.col("edge"), F.lit(False)))
     out = out.withColumn("extra", extra)
-    # One more document flips, that whose size is nearest to what is missing or too much; none if that is no gain.
+    # One document gains or loses a copy, that whose size is nearest to what is missing or too much; none if that is no gain.
     missed = out.where("want > 0").groupBy("pattern").agg((F.first("want") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
-    near = out.join(small(missed.where("gap != 0")), "pattern").where((F.col("extra") == (F.col("gap") < 0)) & (F.abs(F.abs("gap") - F.col("size")) < F.abs("gap")))
-    flip = near.groupBy("pattern").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("off"), place.alias("place")))["place"].alias("flip"))
+    near = out.join(small(missed.where("gap != 0")), "pattern").where(F.when(F.col("gap") < 0, F.col("extra")).otherwise(F.col("whole") + F.col("extra").cast("int") < repeats) & (F.abs(F.abs("gap") - F.col("size")) < F.abs("gap")))
+    flip = near.groupBy("pattern").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("off"), place.alias("place")))["place"].alias("flip"), F.signum(F.first("gap")).cast("int").alias("sign"))
     out = out.join(small(flip), "pattern", "left")
-    extra = F.col("extra") != F.coalesce(place == F.col("flip"), F.lit(False))
-    out = out.withColumn("copies", F.col("whole") + extra.cast("int"))
+    change = F.when(place == F.col("flip"), F.col("sign")).otherwise(0)
+    out = out.withColumn("copies", F.col("whole") + F.col("extra").cast("int") + change)
     return out.select("doc_id", "pattern", "src", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
