@@ -6,7 +6,7 @@ corpus is; counts cover every training text. Escape estimation is method C: a co
 distinct symbols. Symbol exclusion: what a longer context has seen does not count in the shorter one. For a pretrained trie the
 probability of each byte in each context is then one table, and scoring a text is two array look-ups for each byte.
 
-Base: each token's training count. The `head` most frequent tokens go to the tasks by broadcast (their number is fixed); the other
+Base: each token's training count. The most frequent tokens, at most `head`, go to the tasks by broadcast; the other
 tokens, each rare, are joined by token, so no frequent token is ever a join key. Both parts are exact.
 
 Defined results: null and empty texts have one token (the end) and a log probability of 0; equal rows are scored each for itself; with no
@@ -187,9 +187,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
     counts = materialize(counts, "tokens")
     known, total = counts.agg(F.count("*"), F.sum("n")).first()
     total = total or 0
-    top = counts.orderBy(F.desc("n"), "token").limit(head).toPandas()
-    # Rare tokens by the least count of the head; equal counts at the edge are in the head if listed.
-    edge = int(top["n"].iloc[-1]) if len(top) == head else 0
+    # The least count of the head, from the number of tokens by size class (a few hundred rows): at most `head` tokens have it or more.
+    sizes = counts.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 16).alias("size")).agg(F.count("*").alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("size")).collect()
+    edge, n_head = (sizes[0]["least"] if sizes else 0) + total, 0
+    for x in sizes:
+        if (n_head := n_head + x["tokens"]) > head:
+            break
+        edge = x["least"]
+    top = counts.where(F.col("n") >= edge).toPandas()
+    rare_left = len(top) < known
     held = spark.sparkContext.broadcast((dict(zip(map(bytes, top["token"]), np.log10(top["n"].to_numpy(float) + 1).tolist(), strict=True)), trie))
     shift = math.log10(total + known + 1)
 
@@ -203,7 +209,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
                 words = tokens(t)
                 logs = [get(w) for w in words]
                 hits = [x for x in logs if x is not None]
-                cols["rare"].append([w for w, x in zip(words, logs, strict=True) if x is None] if edge else [])
+                cols["rare"].append([w for w, x in zip(words, logs, strict=True) if x is None] if rare_left else [])
                 cols["n_tokens"].append(len(words))
                 cols["n_known"].append(len(hits))
                 cols["base"].append(math.fsum(hits))
@@ -216,7 +222,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
     # Written once, so that the row number stays what it is whatever is lost later.
     part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = part.select("row", F.explode("rare").alias("token"))
-    tail = counts.where(F.col("n") <= edge).withColumnRenamed("n", "c")
+    tail = counts.where(F.col("n") < edge).withColumnRenamed("n", "c")
     more = rare.join(tail, "token").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
     done = part.drop("rare").join(more, "row", "left")
     value = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(shift)
