@@ -60,7 +60,7 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
                 g = grams((t.as_py() or "").encode("utf-8", "replace"))
                 held.append(g)
                 size += len(g)
-                if size > 24_000_000:
+                if size > 6_000_000:
                     yield flush()
                     size = 0
         if size:
@@ -88,10 +88,8 @@ class Trie:
                     row[pairs[part] & 255] = sums[part]
                     table_[c] = row
             contexts.append(table_)
-        self.contexts = contexts
-
-    def compile(self) -> None:
-        rows, number = [], {}
+        rows: list[np.ndarray] = []
+        number: dict[tuple[int, int], int] = {}
 
         def distribution(order: int, c: int, excluded: np.ndarray) -> np.ndarray:
             """Probability of each byte not excluded, in context c of this order."""
@@ -99,7 +97,7 @@ class Trie:
                 free = ~excluded
                 return free / max(1, free.sum())
             shorter = c & ((1 << 8 * (order - 1)) - 1) if order else 0
-            counts = self.contexts[order].get(c)
+            counts = contexts[order].get(c)
             counts = None if counts is None else np.where(excluded, 0.0, counts)
             if counts is None or not counts.any():
                 return distribution(order - 1, shorter, excluded)
@@ -112,31 +110,34 @@ class Trie:
             return out + escape / (counts.sum() + escape) * distribution(order - 1, shorter, rest)
 
         for order in range(1, ORDER + 1):
-            for c in self.contexts[order]:
+            for c in contexts[order]:
                 number[order, c] = len(rows)
-                rows.append(distribution(order, c, np.zeros(256, bool)))
-        rows.append(distribution(0, 0, np.zeros(256, bool)))
-        self.rows = np.log10(np.maximum(np.array(rows), 1e-300)).astype(np.float32)
-        row_of = np.full(256, len(rows) - 1, np.int32)
-        for order in range(1, ORDER + 1):
+                rows.append(np.log10(np.maximum(distribution(order, c, np.zeros(256, bool)), 1e-300)).astype(np.float32))
+        rows.append(np.log10(np.maximum(distribution(0, 0, np.zeros(256, bool)), 1e-300)).astype(np.float32))
+        self.rows = np.stack(rows)
+        self.keys = [(o, np.array([c for k, c in number if k == o], np.int64), np.array([i for (k, _), i in number.items() if k == o], np.int32)) for o in range(1, ORDER + 1)]
+        self.row_of: np.ndarray | None = None
+
+    def index(self) -> np.ndarray:
+        """The row of every context of ORDER bytes; 64 MB, so each task builds its own."""
+        row_of = np.full(256, len(self.rows) - 1, np.int32)
+        for order, contexts, rows in self.keys:
             row_of = np.tile(row_of, 256) if order > 1 else row_of
-            for (o, c), i in number.items():
-                if o == order:
-                    row_of[c] = i
-        self.row_of = row_of
+            row_of[contexts] = rows
+        return row_of
 
     def score(self, data: bytes) -> float:
         """log10 of the probability of these bytes."""
-        if not hasattr(self, "rows"):
-            self.compile()
+        if self.row_of is None:
+            self.row_of = self.index()
         total = 0.0
-        for i in range(0, len(data), 1 << 20):  # bounded memory for any text
-            g = grams(data[max(0, i - ORDER) : i + (1 << 20)])[min(i, ORDER) :]
+        for i in range(0, len(data), 1 << 18):  # bounded memory for any text
+            g = grams(data[max(0, i - ORDER) : i + (1 << 18)])[min(i, ORDER) :]
             total += float(self.rows[self.row_of[g >> np.uint32(8)], g & np.uint32(255)].sum(dtype=np.float64))
         return total
 
     def __getstate__(self) -> dict:
-        return {"contexts": self.contexts}
+        return self.__dict__ | {"row_of": None}
 
 
 def fit_trie(training: DataFrame, floor: float = FLOOR, text: str = "text") -> Trie:
@@ -202,7 +203,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, model = held.value
         get = common.get
-        for b in batches:
+        for b in (big.slice(i, 1000) for big in batches for i in range(0, big.num_rows, 1000)):
             ids, cols = b.column("doc_id"), {k: [] for k in ("n_tokens", "n_known", "base", "score", "rare")}
             for t in b.column("text"):
                 t = t.as_py() or ""
