@@ -48,34 +48,35 @@ def statistics(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str =
     )
 
 
-def vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def vote(bad: Column, good: Column | None = None) -> Column:
+    out = F.when(bad, -1)
+    return (out if good is None else out.when(good, 1)).otherwise(0)
 
 
 def votes() -> list[Column]:
-    """The rules. Each is sure on one or both sides and abstains between."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    share = lambda c, of=n: F.col(c) / of
+    """The rules. Most only know bad text when they see it and abstain on the rest; a few know good text too."""
+    n, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
     mean = F.col("word_chars") / n
     return [
-        vote(F.col("n_words") < 10, F.col("n_words") >= 50),
-        vote((mean < 2) | (mean > 15), mean.between(3, 9)),
-        vote(share("n_symbols") > 0.3, share("n_symbols") < 0.02),
-        vote(share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))) > 0.3, (F.col("n_lines") > 2) & (F.col("n_dup_lines") == 0)),
-        vote(share("n_repeat_words") > 0.2, share("n_repeat_words") < 0.01),
-        vote((F.col("n_words") >= 20) & (share("n_distinct") < 0.2), share("n_distinct").between(0.3, 0.98)),
-        vote(F.col("n_digits") > 0.2 * F.col("word_chars"), F.col("n_digits") < 0.02 * F.col("word_chars")),
-    ]
+        vote(F.col("n_words") < 10),
+        vote((mean < 2) | (mean > 15)),
+        vote(F.col("n_symbols") / n > 0.1, (F.col("n_symbols") / n < 0.01) & (F.col("n_words") >= 10)),
+        vote(F.col("n_symbols") / chars > 0.05),
+        vote((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") / lines > 0.3)),
+        vote(F.col("n_repeat_words") / n > 0.2, (F.col("n_repeat_words") == 0) & (F.col("n_words") >= 10)),
+        vote((F.col("n_words") >= 10) & (F.col("n_distinct") / n < F.when(F.col("n_words") < 100, 0.5).otherwise(0.15))),
+        vote(F.col("n_digits") / chars > 0.2),
+    ]
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> dict:
-    """EM: each rule has a rate of bad, no and good votes under either class. Starts from rules that are right 4 of 5 times, and
+    """EM: each rule has a rate of bad, no and good votes under either class. Starts from rules that are mostly right, and
     pseudo-counts of the same kind keep the classes from changing places."""
     r = patterns.shape[1]
     prior = np.zeros((2, r, 3))
-    prior[0], prior[1] = (0.6, 0.25, 0.15), (0.05, 0.25, 0.7)
+    prior[0], prior[1] = (0.4, 0.45, 0.15), (0.02, 0.58, 0.4)
     rate, good, total = prior.copy(), 0.8, max(float(counts.sum()), 1.0)
-    strength = 1 + 0.05 * total
+    strength = 1 + 0.01 * total
 
     def posterior() -> np.ndarray:
         logs = [np.log(rate[c][np.arange(r), patterns + 1]).sum(axis=1) for c in (0, 1)]
