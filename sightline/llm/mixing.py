@@ -4,7 +4,7 @@ Documents are aggregated by membership pattern (the set of sources they belong t
 source quotas: a pattern offers its tokens once at cost 0, again at cost 1 and so on (convex repetition costs), so no token is
 repeated while an unused one could serve. Flows are found on the driver over patterns by sources; the documents never
 leave the executors. Each (pattern, source) flow is then filled by seeded documents: whole copies for all, and for the
-remaining part the documents that come first in a seeded order, found by narrowing the order's hash range twice through
+remaining part the documents that come first in a seeded order, found by narrowing the order's hash range through
 small sums, so that no source is sorted in one task; then the one document whose size is nearest to the gap left is added
 or given back.
 
@@ -25,8 +25,8 @@ from ._common import materialize, n_words, small, table
 SEED = 1234
 WEIGHTS = (5, 2, 1)
 SHARE, REPEATS = 1.5, 2
-#: Bits by which the seeded order is narrowed, twice.
-BITS = 12
+#: Bits by which the seeded order is narrowed at a time, and how often: a step sums 256 bins for each pattern.
+BITS, STEPS = 8, 3
 
 
 def targets(sizes: list[float], weights: list[float], total: float, limit: float = REPEATS) -> list[float]:
@@ -157,20 +157,26 @@ def mix(docs: DataFrame, source: Column | None = None, weights: tuple[float, ...
         plan_df = spark.createDataFrame([], "pattern string, whole int, want long, pattern_size long, target double, source_size long")
     else:
         plan_df = spark.createDataFrame(plan, "pattern string, whole int, want long, pattern_size long, target double, source_size long")
-    first = plan_df.where("want > 0").select("pattern", F.lit(0).cast("long").alias("lo"), "want")
-    one = materialize(narrow(rows, first, 48 - BITS), "edge1")
-    two = materialize(narrow(rows, one, 48 - 2 * BITS), "edge2")
+    edges = [plan_df.where("want > 0").select("pattern", F.lit(0).cast("long").alias("lo"), "want")]
+    for i in range(1, STEPS + 1):
+        edges.append(materialize(narrow(rows, edges[-1], 48 - i * BITS), f"edge{i}"))
+    low = 48 - STEPS * BITS
     # Rows in the last bin: about one in 2^24 of a pattern; these alone are put in order.
-    last = rows.join(small(two.withColumnRenamed("want", "rest")), "pattern").where(F.shiftright("u", 48 - 2 * BITS) == F.col("lo"))
+    last = rows.join(small(edges[-1].withColumnRenamed("want", "rest")), "pattern").where(F.shiftright("u", low) == F.col("lo"))
     w = Window.partitionBy("pattern").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("upto", F.sum("size").over(w)).where(F.col("upto") - F.col("size") < F.col("rest")).where((F.col("upto") <= F.col("rest")) | (2 * (F.col("upto") - F.col("rest")) <= F.col("size")))
     chosen = last.groupBy("pattern").agg(F.max(F.struct("u", F.coalesce(F.col("doc_id"), F.lit(-1)).alias("doc_id"), "size")).alias("edge"))
-    cut = small(plan_df.join(one.select("pattern", F.col("lo").alias("lo1")), "pattern", "left").join(two.select("pattern", F.col("lo").alias("lo2")), "pattern", "left").join(chosen, "pattern", "left"))
+    cut = plan_df.join(chosen, "pattern", "left")
+    for i in range(1, STEPS + 1):
+        cut = cut.join(edges[i].select("pattern", F.col("lo").alias(f"lo{i}")), "pattern", "left")
+    cut = small(cut)
     out = rows.join(cut, "pattern", "left")
     place = F.struct(F.col("u"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("doc_id"), F.col("size"))
-    bin1, bin2 = F.shiftright("u", 48 - BITS), F.shiftright("u", 48 - 2 * BITS)
-    extra = F.when(F.col("want") <= 0, False).when(F.col("lo1").isNull() | (bin1 < F.col("lo1")), True).when(bin1 > F.col("lo1"), False)
-    extra = extra.when(F.col("lo2").isNull() | (bin2 < F.col("lo2")), True).when(bin2 > F.col("lo2"), False).otherwise(F.coalesce(place <= F.col("edge"), F.lit(False)))
+    extra = F.when(F.col("want") <= 0, False)
+    for i in range(1, STEPS + 1):
+        bin_, edge = F.shiftright("u", 48 - i * BITS), F.col(f"lo{i}")
+        extra = extra.when(edge.isNull() | (bin_ < edge), True).when(bin_ > edge, False)
+    extra = extra.otherwise(F.coalesce(place <= F.col("edge"), F.lit(False)))
     out = out.withColumn("extra", extra)
     # One document gains or loses a copy, that whose size is nearest to what is missing or too much; none if that is no gain.
     missed = out.where("want > 0").groupBy("pattern").agg((F.first("want") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
