@@ -1,0 +1 @@
+"""Empty: all inputs of this engine are bounded, so it has no streaming operators."""
