@@ -63,7 +63,8 @@ def update(versions: DataFrame, ledger: str, path: str = "path", text: str = "te
     texts = versions.select(F.col(path).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text_"), blob_id(F.col(text)).alias("blob"))
     todo = texts.join(unseen.select("rep", "blob"), [texts["rep"].eqNullSafe(unseen["rep"]), texts["blob"] == unseen["blob"]], "left_semi")
     found = add_spans(todo, "text_", RULES).select("blob", F.lit(RULE_VERSION).alias("rule_version"), F.array_sort(F.flatten(F.array(*(F.transform(f"span_{i}", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))) for i in range(len(RULES)))))).cast(SPANS).alias("spans"))
-    found.write.mode("append").parquet(ledger)
+    # Rows equal in path and text are scanned each, but the ledger gets a blob once.
+    found.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     return rows
 
 
