@@ -117,9 +117,8 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
             for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
                 a = x.values.to_numpy(zero_copy_only=False)
                 b = y.values.to_numpy(zero_copy_only=False) if y.is_valid else None
-                if b is None and len(a) == 2:
-                    if int(a[0] ^ a[1]).bit_count() > radius and (int(a[0] ^ a[1]) & (1 << 64) - 1).bit_count() > radius:
-                        continue
+                if b is None and len(a) == 2 and (int(a[0] ^ a[1]) & (1 << 64) - 1).bit_count() > radius:
+                    continue  # most buckets: two fingerprints that share a block by chance
                 u, v = links(a.view(np.uint64), None if b is None else b.view(np.uint64), radius)
                 if len(u):
                     s, t = forest(a if b is None else np.concatenate([a, b]), u, v)
