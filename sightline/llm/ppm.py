@@ -1,10 +1,14 @@
 """Language-model scoring by partial matching over bytes (PPM), and a word unigram base.
 
-Training counts byte n-grams of order `order` + 1 over all training documents (array arithmetic in the tasks, sums in Spark). The context trie
-keeps the contexts that hold at least `floor` of all bytes, so it has at most 1 / floor contexts of each length however large the
-corpus is; counts cover every training text. Escape estimation is method C: a context escapes in proportion to its number of
-distinct symbols. Symbol exclusion: what a longer context has seen does not count in the shorter one. For a pretrained trie the
-probability of each byte in each context is then one table, and scoring a text is two array look-ups for each byte.
+Training counts byte n-grams of order `ORDER` + 1 over all training documents (array arithmetic in the tasks, sums in Spark). The context trie
+holds every context and every symbol that training has seen, so it grows with the corpus. Escape estimation is method C: a context escapes in
+proportion to its number of distinct symbols. Symbol exclusion: what a longer context has seen does not count in the shorter one. As
+what a context has seen its suffix has seen too, exclusion leaves two numbers for each context, and a text is scored by
+hash look-ups of whole batches.
+
+The trie goes to the tasks in blocks of about `block` cells, dealt by the three bytes before a symbol. All cells that share these bytes (at most
+2^16, as ORDER is 4) are in one block, and with the contexts of up to two bytes (at most 2^24 cells) a block scores its positions alone.
+A task holds one block at a time; where there are several it runs each batch of text through all of them.
 
 Base: each token's training count. The most frequent tokens, at most `head`, go to the tasks by broadcast; the other
 tokens, each rare, are joined by token, so no frequent token is ever a join key. Both parts are exact.
@@ -24,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, folded, materialize, table
+from ._common import fold, folded, materialize, scratch, table
 
 #: The end token cannot be a word: it has white space in it.
 END = b"\n"
-ORDER, FLOOR, HEAD = 3, 2.0**-14, 200_000
+ORDER, BLOCK, HEAD = 4, 4_000_000, 200_000
 MOD, OUT = 7, 2
 
 
@@ -36,137 +40,232 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
+def low(order: int) -> np.uint64:
+    """Mask of the last `order` bytes."""
+    return np.uint64((1 << 8 * order) - 1)
+
+
 def grams(data: bytes, order: int = ORDER) -> np.ndarray:
     """For each byte, it and the `order` bytes before it (line ends before the text) as one number."""
-    b = np.frombuffer(END * order + data, np.uint8).astype(np.uint32)
-    out = np.zeros(len(data), np.uint32)
+    b = np.frombuffer(END * order + data, np.uint8).astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
     for j in range(order + 1):
-        out = (out << np.uint32(8)) | b[j : j + len(data)]
+        out = (out << np.uint64(8)) | b[j : j + len(data)]
     return out
 
 
+def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of n for each."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """gram (long), n: over all rows. Each task sums what it has before anything moves."""
+    """gram (long), n: over all rows. Each task sums what it has before anything moves, in bounded memory."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+        def merge() -> None:
+            nonlocal keys, n
+            new = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+            keys, n = add_up(np.concatenate([keys, new[0]]), np.concatenate([n, new[1]]))
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["gram", "n"])
 
         for b in batches:
             for t in b.column(text):
-                g = grams((t.as_py() or "").encode("utf-8", "replace"))
-                held.append(g)
-                size += len(g)
-                if size > 6_000_000:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
+                data = (t.as_py() or "").encode("utf-8", "replace")
+                for i in range(0, len(data), 1 << 20):
+                    held.append(grams(data[max(0, i - ORDER) : i + (1 << 20)])[min(i, ORDER) :])
+                    size += len(held[-1])
+                    if size > 4_000_000:
+                        merge()
+                        size = 0
+                        if len(keys) > 2_000_000:
+                            yield rows()
+                            keys, n = keys[:0], n[:0]
+        if held:
+            merge()
+        if len(keys):
+            yield rows()
 
     return docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+class Index:
+    """Place of each of these distinct keys, by an open hash table at most half full."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(4, (2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys), dtype=np.int32)
+        at = self.home(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            rest = self.slots[at] != left
+            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = self.home(keys)
+        out = self.slots[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(open_):
+            at_ = (at[open_] + 1) & ((1 << self.bits) - 1)
+            at[open_] = at_
+            out[open_] = got = self.slots[at_]
+            open_ = open_[(got >= 0) & (self.keys[got] != keys[open_])]
+        return out
+
+
+class Level:
+    """Contexts of one order. gram: distinct, ascending; n: their counts; below: the level of one order less, holding every shorter context."""
+
+    def __init__(self, order: int, gram: np.ndarray, n: np.ndarray, below: Level | None):
+        self.gram, self.n = gram, n
+        self.ctx, first = np.unique(gram >> np.uint64(8), return_index=True)
+        self.total = np.add.reduceat(n, first) if len(first) else np.zeros(0)
+        self.seen = np.diff(np.append(first, len(gram)))
+        base = np.log10(self.total + np.where(self.seen < 256, self.seen, 0))
+        logn = np.log10(n)
+        self.logn, self.logp = logn.astype(np.float32), (logn - np.repeat(base, self.seen)).astype(np.float32)
+        self.escape = (np.log10(self.seen) - base).astype(np.float32)
+        # The next shorter context without what this one has seen: its denominator, and its escape from there.
+        self.under = self.under_escape = np.zeros(len(first), np.float32)
+        if below is not None and len(first):
+            hidden = np.add.reduceat(below.n[np.searchsorted(below.gram, gram & low(order))], first)
+            suffix = np.searchsorted(below.ctx, self.ctx & low(order - 1))
+            left, kinds = below.total[suffix] - hidden, below.seen[suffix] - self.seen
+            some = kinds > 0
+            self.under = np.log10(np.where(some, left + np.where(below.seen[suffix] < 256, kinds, 0), 1)).astype(np.float32)
+            self.under_escape = np.log10(np.where(some, kinds / np.maximum(left + kinds, 1), 1)).astype(np.float32)
+        self.cells, self.contexts = Index(self.gram), Index(self.ctx)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("n", "total")}
+
+
 class Trie:
-    """rows: log10 probability of each byte in each kept context. row_of: the row of every 3-byte context (its longest kept suffix)."""
+    """One block. short: grams (3 bytes) of the contexts of up to two bytes, all of them; gram: those of this block; either with counts."""
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray, total: int, floor: float = FLOOR):
-        least = max(1.0, floor * total)
-        contexts: list[dict[int, np.ndarray]] = []  # by order, context -> counts of 256 bytes
+    def __init__(self, short: np.ndarray, short_n: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        self.levels: list[Level] = []
         for order in range(ORDER + 1):
-            key = gram & ((1 << 8 * (order + 1)) - 1)
-            pairs, inverse = np.unique(key, return_inverse=True)
-            sums = np.bincount(inverse, weights=n, minlength=len(pairs)) if len(pairs) else np.zeros(0)
-            table_: dict[int, np.ndarray] = {}
-            ctx, first = np.unique(pairs >> 8, return_index=True)
-            for i, c in enumerate(ctx.tolist()):
-                part = slice(first[i], first[i + 1] if i + 1 < len(first) else None)
-                if order < 2 or sums[part].sum() >= least:
-                    row = np.zeros(256)
-                    row[pairs[part] & 255] = sums[part]
-                    table_[c] = row
-            contexts.append(table_)
-        rows: list[np.ndarray] = []
-        number: dict[tuple[int, int], int] = {}
-
-        def distribution(order: int, c: int, excluded: np.ndarray) -> np.ndarray:
-            """Probability of each byte not excluded, in context c of this order."""
-            if order < 0:
-                free = ~excluded
-                return free / max(1, free.sum())
-            shorter = c & ((1 << 8 * (order - 1)) - 1) if order else 0
-            counts = contexts[order].get(c)
-            counts = None if counts is None else np.where(excluded, 0.0, counts)
-            if counts is None or not counts.any():
-                return distribution(order - 1, shorter, excluded)
-            seen = counts > 0
-            rest = excluded | seen
-            if rest.all():
-                return counts / counts.sum()
-            escape = seen.sum()
-            out = counts / (counts.sum() + escape)
-            return out + escape / (counts.sum() + escape) * distribution(order - 1, shorter, rest)
-
-        for order in range(1, ORDER + 1):
-            for c in contexts[order]:
-                number[order, c] = len(rows)
-                rows.append(np.log10(np.maximum(distribution(order, c, np.zeros(256, bool)), 1e-300)).astype(np.float32))
-        rows.append(np.log10(np.maximum(distribution(0, 0, np.zeros(256, bool)), 1e-300)).astype(np.float32))
-        self.rows = np.stack(rows)
-        self.keys = [(o, np.array([c for k, c in number if k == o], np.int64), np.array([i for (k, _), i in number.items() if k == o], np.int32)) for o in range(1, ORDER + 1)]
-        self.row_of: np.ndarray | None = None
-
-    def index(self) -> np.ndarray:
-        """The row of every context of ORDER bytes; 64 MB, so each task builds its own."""
-        row_of = np.full(256, len(self.rows) - 1, np.int32)
-        for order, contexts, rows in self.keys:
-            row_of = np.tile(row_of, 256) if order > 1 else row_of
-            row_of[contexts] = rows
-        return row_of
-
-    def score(self, data: bytes) -> float:
-        """log10 of the probability of these bytes."""
-        if self.row_of is None:
-            self.row_of = self.index()
-        total = 0.0
-        for i in range(0, len(data), 1 << 18):  # bounded memory for any text
-            g = grams(data[max(0, i - ORDER) : i + (1 << 18)])[min(i, ORDER) :]
-            total += float(self.rows[self.row_of[g >> np.uint32(8)], g & np.uint32(255)].sum(dtype=np.float64))
-        return total
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"row_of": None}
+            keys, sums = add_up(*((short & low(order + 1), short_n) if order < 3 else (gram & low(order + 1), n)))
+            self.levels.append(Level(order, keys, sums.astype(float), self.levels[-1] if order else None))
+        self.unseen = -math.log10(max(1, 256 - len(self.levels[0].gram)))
+
+    def logs(self, g: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram after the bytes before it."""
+        out, at = np.zeros(len(g)), np.arange(len(g))
+        came, under, under_escape = np.zeros(len(g), bool), np.zeros(len(g), np.float32), np.zeros(len(g), np.float32)
+        for order in range(ORDER, -1, -1):
+            level, key = self.levels[order], g & low(order + 1)
+            cell = level.cells.find(key)
+            hit = cell >= 0
+            found = cell[hit]
+            out[at[hit]] += np.where(came[hit], level.logn[found] - under[hit], level.logp[found])
+            miss = ~hit
+            g, at, came = g[miss], at[miss], came[miss]
+            if not len(at):
+                return out
+            context = level.contexts.find(key[miss] >> np.uint64(8))
+            known = context >= 0
+            if len(level.ctx):
+                out[at] += np.where(came, under_escape[miss], np.where(known, level.escape[context], 0))
+                under, under_escape = np.where(known, level.under[context], 0), np.where(known, level.under_escape[context], 0)
+            came = known
+        out[at] += self.unseen
+        return out
+
+
+def block_of(gram, blocks: int):
+    """The block of a gram, a column or an array, by the three bytes before its last."""
+    if isinstance(gram, np.ndarray):
+        suffix = (gram >> np.uint64(8)) & low(3)
+        return (((suffix * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)) % np.uint64(blocks)
+    suffix = F.shiftright(gram, 8).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.shiftright((suffix * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % blocks
+
+
+class Model:
+    """Broadcast tries, one for each block."""
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    def _logs(self, g: np.ndarray) -> np.ndarray:
+        if len(self.parts) == 1:
+            return self.parts[0].value.logs(g)
+        out, block = np.zeros(len(g)), block_of(g, len(self.parts))
+        for i, part in enumerate(self.parts):
+            if len(at := np.flatnonzero(block == i)):
+                out[at] = part.value.logs(g[at])
+                part.__dict__.pop("_value", None)  # one block in memory; the next use reads it again from the executor's disk
+        return out
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each text, in bounded memory for any text."""
+        most = 1 << 20 if len(self.parts) == 1 else 1 << 22
+        out, held, rows, size = np.zeros(len(texts)), [], [], 0
+
+        def flush() -> None:
+            logs = self._logs(np.concatenate(held))
+            ends = np.cumsum([len(x) for x in held])
+            np.add.at(out, rows, np.add.reduceat(logs, np.append(0, ends[:-1])))
+            held.clear()
+            rows.clear()
+
+        for row, data in enumerate(texts):
+            for i in range(0, len(data), 1 << 18):
+                held.append(grams(data[max(0, i - ORDER) : i + (1 << 18)])[min(i, ORDER) :])
+                rows.append(row)
+                size += len(held[-1])
+                if size >= most:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return out
 
 
-def fit_trie(training: DataFrame, floor: float = FLOOR, text: str = "text") -> Trie:
+def fit(training: DataFrame, block: int = BLOCK, text: str = "text") -> Model:
+    """Counts all grams of all texts. The driver builds one block after the other and keeps none."""
+    spark = training.sparkSession
     counts = materialize(count_grams(training, text), "grams")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1.0, floor * total)
-    # Cells of the kept contexts of full length, and the rest summed by shorter ones: at most (2 / floor + 257) * 256 rows.
-    long_ = counts.groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("c")
-    kept = counts.join(F.broadcast(long_), F.shiftright("gram", 8) == F.col("c"), "left")
-    key = F.when(F.col("c").isNotNull(), F.col("gram")).otherwise(F.lit(1 << 33) + F.col("gram").bitwiseAND((1 << 24) - 1))
-    cells = kept.groupBy(key.alias("gram")).agg(F.sum("n").alias("n"))
-    pair = cells.where(F.col("gram") >= 1 << 33).groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum("n").alias("m"))
-    middle = cells.where(F.col("gram") < 1 << 33).groupBy((F.lit(1 << 25) + F.shiftright("gram", 8).bitwiseAND((1 << 16) - 1)).alias("c")).agg(F.sum("n").alias("m"))
-    two = pair.unionAll(middle).groupBy("c").agg(F.sum("m").alias("m")).where(F.col("m") >= least).select("c")
-    cells = cells.join(F.broadcast(two), (F.col("gram") >= 1 << 33) & (F.shiftright("gram", 8) == F.col("c")), "left")
-    key = F.when((F.col("gram") < 1 << 33) | F.col("c").isNotNull(), F.col("gram")).otherwise(F.lit(1 << 34) + F.col("gram").bitwiseAND((1 << 16) - 1))
-    got = cells.groupBy(key.alias("gram")).agg(F.sum("n").alias("n")).toPandas()
-    gram, n = got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
-    # A summed cell stands for its shorter contexts only; a byte order mark of its own (0xFF 0xFF ...) keeps it out of the longer.
-    low = np.where(gram >= 1 << 34, (gram & 0xFFFF) | 0xFFFF0000, np.where(gram >= 1 << 33, (gram & 0xFFFFFF) | 0xFF000000, gram))
-    return Trie(low, n, total, floor)
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = MOD, out: int = OUT, head: int = HEAD, floor: float = FLOOR) -> DataFrame:
+    blocks = max(1, -(-counts.count() // block))
+    if blocks > 1:
+        path = scratch(spark, "blocks")
+        counts.withColumn("block", block_of(F.col("gram"), blocks)).repartition("block").write.partitionBy("block").parquet(path)
+        cells = spark.read.schema("gram long, n long, block int").parquet(path)
+    else:
+        cells = counts.withColumn("block", F.lit(0))
+
+    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = df.select("gram", "n").toArrow()
+        return got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy()
+
+    short = arrays(counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 24) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
+    return Model([spark.sparkContext.broadcast(Trie(*short, *arrays(cells.where(F.col("block") == i)))) for i in range(blocks)])
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = MOD, out: int = OUT, head: int = HEAD, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     training = rows.where(folded(F.col("doc_id"), mod) != out)
-    trie = fit_trie(training, floor)
+    model = fit(training, block)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -197,14 +296,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
         edge = x["least"]
     top = counts.where(F.col("n") >= edge).toPandas()
     rare_left = len(top) < known
-    held = spark.sparkContext.broadcast((dict(zip(map(bytes, top["token"]), np.log10(top["n"].to_numpy(float) + 1).tolist(), strict=True)), trie))
+    held = spark.sparkContext.broadcast(dict(zip(map(bytes, top["token"]), np.log10(top["n"].to_numpy(float) + 1).tolist(), strict=True)))
     shift = math.log10(total + known + 1)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, model = held.value
-        get = common.get
+        get = held.value.get
         for b in (big.slice(i, 1000) for big in batches for i in range(0, big.num_rows, 1000)):
             ids, cols = b.column("doc_id"), {k: [] for k in ("n_tokens", "n_known", "base", "score", "rare")}
+            texts = []
             for t in b.column("text"):
                 t = t.as_py() or ""
                 words = tokens(t)
@@ -214,7 +313,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
                 cols["n_tokens"].append(len(words))
                 cols["n_known"].append(len(hits))
                 cols["base"].append(math.fsum(hits))
-                cols["score"].append(model.score(t.encode("utf-8", "replace")))
+                texts.append(t.encode("utf-8", "replace"))
+            cols["score"] = model.score(texts)
             kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.binary())}
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, kinds[k]) for k, v in cols.items())], names=["doc_id", *cols])
 

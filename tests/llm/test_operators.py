@@ -242,36 +242,70 @@ def test_ppm_base(spark, odd, real):
     assert ppm.score(odd.limit(0)).count() == 0
 
 
-def test_ppm_trie():
-    data = ("the cat sat on the mat. " * 40 + "a dog ran over the log. " * 30).encode()
-    g, n = np.unique(ppm.grams(data), return_counts=True)
-    t = ppm.Trie(g.astype(np.int64), n.astype(float), len(data), floor=1 / 500)
-    assert np.allclose((10.0 ** t.rows.astype(float)).sum(axis=1), 1, atol=1e-3)
-    # By hand, with escapes and exclusion, byte by byte.
+def ppm_by_hand(training, texts):
+    """log10 probabilities with escapes and exclusion, byte by byte."""
     counts = defaultdict(Counter)
-    for k in g.tolist():
-        for order in range(4):
-            counts[order, k >> 8 & (1 << 8 * order) - 1][k & 255] += int(n[g.tolist().index(k)])
+    for data in training:
+        padded = ppm.END * ppm.ORDER + data
+        for i in range(len(data)):
+            for order in range(ppm.ORDER + 1):
+                counts[padded[i + ppm.ORDER - order : i + ppm.ORDER]][padded[i + ppm.ORDER]] += 1
 
     def p(ctx, s):
         out, gone = 1.0, set()
-        for order in range(3, -1, -1):
-            c = counts.get((order, ctx & (1 << 8 * order) - 1))
-            if c is None or order >= 2 and sum(c.values()) < len(data) / 500:
-                continue
-            c = {k: v for k, v in c.items() if k not in gone}
+        for order in range(ppm.ORDER, -1, -1):
+            c = counts.get(ctx[len(ctx) - order :])
+            c = {k: v for k, v in c.items() if k not in gone} if c else None
             if not c:
                 continue
+            escape = len(c) if len(c) + len(gone) < 256 else 0
             if s in c:
-                return out * c[s] / (sum(c.values()) + len(c))
-            out *= len(c) / (sum(c.values()) + len(c))
+                return out * c[s] / (sum(c.values()) + escape)
+            out *= escape / (sum(c.values()) + escape)
             gone |= set(c)
         return out / (256 - len(gone))
 
-    text = b"the dog sat, xq"
-    want = sum(math.log10(p(int(k) >> 8, int(k) & 255)) for k in ppm.grams(text))
-    assert math.isclose(t.score(text), want, rel_tol=1e-4)
-    assert t.score(b"zq#~ kx") / 7 < t.score(b"the cat") / 7
+    padded = [ppm.END * ppm.ORDER + t for t in texts]
+    return [sum(math.log10(p(x[i - ppm.ORDER : i], x[i])) for i in range(ppm.ORDER, len(x))) for x in padded]
+
+
+PPM_TRAINING = [b"the cat sat on the mat. " * 40, b"a dog ran over the log. " * 30, "ñ é \x00 \n\n".encode(), b"", b"a"]
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_ppm_trie(every):
+    training = PPM_TRAINING + ([bytes(range(256)), b"the " + bytes(range(255, -1, -1))] if every else [])
+    g, n = np.unique(np.concatenate([ppm.grams(x) for x in training]), return_counts=True)
+    t = ppm.Trie(*ppm.add_up(g & ppm.low(3), n), g, n)
+    texts = [b"the dog sat, xq", b"zq#~ kx", b"the cat", "ñandú".encode(), b"", bytes(range(200))]
+    got = [float(t.logs(ppm.grams(x)).sum()) for x in texts]
+    assert np.allclose(got, ppm_by_hand(training, texts), rtol=1e-4)
+    assert got[1] < got[2]
+    for ctx in (b"the ", b"\n\n\n\n", b"zzzz", b"t, x"):
+        after = np.array([int.from_bytes(ctx + bytes([b])) for b in range(256)], np.uint64)
+        assert math.isclose((10.0 ** t.logs(after)).sum(), 1, rel_tol=1e-4)
+    none = ppm.Trie(*[np.zeros(0, np.uint64), np.zeros(0, np.int64)] * 2)
+    assert np.allclose(none.logs(ppm.grams(b"abc")), -math.log10(256))
+
+
+def test_ppm_index():
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 40, 20_000).astype(np.uint64))
+    index = ppm.Index(keys)
+    assert (index.find(keys[::-1]) == np.arange(len(keys))[::-1]).all() and (index.find(keys + np.uint64(1 << 41)) == -1).all()
+
+
+def test_ppm_blocks(spark):
+    """Blocks change nothing; the score of every text is that by hand."""
+    rows = [(i, t.decode()) for i, t in enumerate(PPM_TRAINING * 3)] + [(90, None), (91, "the dog sat, xq " * 20_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {i: (t or "").encode() for i, t in rows}
+    want = ppm_by_hand([t for i, t in texts.items() if fold(i, 7) != 2], [t[:16] for t in texts.values()])
+    whole = {r.doc_id: r.score for r in ppm.score(d).collect()}
+    parts = {r.doc_id: r.score for r in ppm.score(d, block=60).collect()}
+    assert whole.keys() == texts.keys() and all(math.isclose(whole[i], parts[i], rel_tol=1e-9, abs_tol=1e-9) for i in whole)
+    for (i, t), w in zip(texts.items(), want, strict=True):
+        if len(t) <= 16:
+            assert math.isclose(whole[i], w, rel_tol=1e-4, abs_tol=1e-6)
 
 
 def test_mixing(spark, odd):
