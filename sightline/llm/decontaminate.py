@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from ._common import table
 
 N = 13
 BLOCK_WORDS = 2_000_000
+#: Documents are scanned together up to so many, or so many bytes of text; a longer one is scanned alone.
+BATCH_ROWS, BATCH_BYTES = 256, 4_000_000
 #: Bytes of a word stay, A-Z become lower case, all else separates; every byte of a non-ASCII code point is 0x80 or more.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -34,33 +37,41 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(NORMAL).split()
 
 
-def hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n numbers from each position on."""
-    out = np.zeros(len(ids) - n + 1, np.uint64)
-    for j in range(n):
-        out = out * PRIME + ids[j : len(ids) - n + 1 + j].astype(np.uint64)
-    return out
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded size."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(b.column("text")).to_pylist()):
+        if i > start and (i - start == BATCH_ROWS or held + (n or 0) > BATCH_BYTES):
+            yield b.slice(start, i - start)
+            start, held = i, 0
+        held += n or 0
+    if b.num_rows > start:
+        yield b.slice(start)
 
 
 class Windows:
-    """The windows of a block of items. lengths: by window length, sorted hashes and, by hash, {number tuple: item numbers}."""
+    """The windows of a block of items, as arrays: some 70 bytes for each. lengths: by window length the windows' hashes, ascending, the
+    windows as rows of word numbers, and the items of window i at owner[first[i] : first[i + 1]]."""
 
     def __init__(self, items: list[tuple], n: int = N):
         self.number: dict[bytes, int] = {}
         self.items = [str(i) if i is not None else None for i, _ in items]
-        tables: dict[int, dict[tuple, set]] = {}
+        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, (_, text) in enumerate(items):
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                tables.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(k)
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int32)
+            if len(ids):
+                parts.setdefault(min(n, len(ids)), []).append((ids, k))
         self.lengths = {}
-        for size, found in tables.items():
-            keys = np.array(list(found), np.uint64).reshape(-1, size)
-            h = np.zeros(len(keys), np.uint64)
+        for size, found in parts.items():
+            grid = np.concatenate([np.lib.stride_tricks.sliding_window_view(ids, size) for ids, _ in found])
+            owner = np.concatenate([np.full(len(ids) - size + 1, k, np.int32) for ids, k in found])
+            h = np.zeros(len(grid), np.uint64)
             for j in range(size):
-                h = h * PRIME + keys[:, j]
-            self.lengths[size] = (np.unique(h), found)
+                h = h * PRIME + grid[:, j].astype(np.uint64)
+            order = np.lexsort((owner, *grid.T, h))
+            grid, owner, h = grid[order], owner[order], h[order]
+            first = np.flatnonzero(np.append(True, (grid[1:] != grid[:-1]).any(axis=1)))
+            self.lengths[size] = (h[first], grid[first], np.append(first, len(owner)), owner)
 
     def scan(self, docs: list[list[bytes]]) -> tuple[list[list], list[list]]:
         """For each document its merged hit ranges and the ids of the items with occurring windows."""
@@ -72,20 +83,30 @@ class Windows:
         ids, starts = np.array(flat, np.int64), np.array(starts, np.int64)
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         ranges, found = [[] for _ in docs], [set() for _ in docs]
-        for size, (wanted, exact) in self.lengths.items():
+        for size, (wanted, grid, first, owner) in self.lengths.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(known[size:] - known[:-size] == size)
             h = np.zeros(len(at), np.uint64)
             for j in range(size):
                 h = h * PRIME + ids[at + j].astype(np.uint64)
-            spot = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            at = at[wanted[spot] == h]
-            for p, d in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True):
-                hit = exact.get(tuple(flat[p : p + size]))
-                if hit:
-                    ranges[d].append((p - int(starts[d]), p - int(starts[d]) + size))
-                    found[d].update(self.items[k] for k in hit)
+            row, end = np.searchsorted(wanted, h), np.searchsorted(wanted, h, "right")
+            hits = []
+            while len(open_ := np.flatnonzero(row < end)):  # once, but for windows that share a hash
+                at, row, end = at[open_], row[open_], end[open_]
+                same = np.ones(len(at), bool)
+                for j in range(size):
+                    same &= grid[row, j] == ids[at + j]
+                hits.append((at[same], row[same]))
+                row = np.where(same, end, row + 1)
+            if not hits:
+                continue
+            at, row = (np.concatenate(x) for x in zip(*hits, strict=True))
+            doc = np.searchsorted(starts, at, "right") - 1
+            for p, d in zip((at - starts[doc]).tolist(), doc.tolist(), strict=True):
+                ranges[d].append((p, p + size))
+            for d, i in np.unique(np.stack([doc, row], 1), axis=0).tolist():
+                found[d].update(self.items[k] for k in owner[first[i] : first[i + 1]].tolist())
         return ranges, [sorted(x for x in f if x is not None) for f in found]
 
 
@@ -129,8 +150,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = B
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, names=[f.name for f in fields]) -> Iterator[pa.RecordBatch]:
             for big in batches:
-                for start in range(0, big.num_rows, 256):
-                    b = big.slice(start, 256)
+                for b in slices(big):
                     docs_ = [words(t) for t in b.column("text").to_pylist()]
                     ranges, items = held.value.scan(docs_)
                     cols = {name: b.column(name) for name in names}
@@ -193,6 +213,22 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+bi AS (SELECT item_id, w, least({N}, len(w)) AS size, unnest(range(1, len(w) - least({N}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS win FROM bi),
+di AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
+hit AS (SELECT r, i, di.size, item_id FROM di JOIN win ON di.size = win.size AND array_to_string(w[i : i + di.size - 1], ' ') = win.win),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT r, i, size FROM hit)) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
+
+
 def brute(docs: list[tuple], items: list[tuple]) -> list[tuple]:
     """The contract, word by word, for tests."""
     windows = []
