@@ -96,3 +96,37 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("path").alias("doc_id"), *(count(k).alias(f"n_{KINDS[k]}") for k in range(BASE)),
         F.sha2(joined(base, KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """The same in SQL. Each rule's matches are set between marks, so that every second piece of the marked text is a match. A look-behind becomes a
+    group for the character before the match; matches end in other characters than that group takes, but for url_login's @."""
+    word = "(^|[^A-Za-z0-9_])"
+    rules = [
+        ("()", r"""((?:(?i:password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+))""", True),
+        ("()", r"(AKIA[A-Z0-9]{14,})", False),
+        ("()", r"([0-9a-f]{16,})", False),
+        ("()", r"(-----BEGIN\x20(?:[A-Z0-9]{1,12}\x20){0,3}PRIVATE\x20KEY-----)", False),
+        (word, r"(gh[pousr]_[A-Za-z0-9]{36,})", False),
+        (word, r"(xox[abeoprs]-[A-Za-z0-9-]{10,})", False),
+        (word, r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", False),
+        ("(^|[^a-z0-9+.-])", r"([a-z][a-z0-9+.-]{1,20}://[^ \t\n\x0B\f\r/:@]{1,256}:[^ \t\n\x0B\f\r/:@]{3,256}@)", False),
+    ]
+    mark, quoted = "chr(57344)", lambda x: x.replace("'", "''")
+    parts, spans = [], []
+    for k, (before, regex, group) in enumerate(rules):
+        parts.append(f"string_split(regexp_replace(t, '{quoted(before + regex)}', '\\1' || {mark} || '\\2' || {mark}, 'g'), {mark}) AS p{k}")
+        keep = f" IF length(regexp_extract(p{k}[2 * j], '{quoted(regex)}', 2)) >= 12" if group else ""
+        spans.append(f"[{{'s': list_sum([length(x) for x in p{k}[1 : 2 * j - 1]]), 'k': {k}, 'n': length(p{k}[2 * j])}} for j in range(1, len(p{k}) // 2 + 1){keep}]")
+    name = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    text = lambda x: f"coalesce(array_to_string([{name}[x.k + 1] || ':' || CAST(x.s AS BIGINT) || ':' || CAST(x.s + x.n AS BIGINT) for x in {x}], ','), '')"
+    counts = ", ".join(f"CAST(len([x for x in spans IF x.k = {k}]) AS BIGINT) AS n_{KINDS[k]}" for k in range(BASE))
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {mark}, chr(57345)) AS t FROM documents),
+p AS (SELECT doc_id, {", ".join(parts)} FROM d),
+s AS (SELECT doc_id, list_sort({" || ".join(spans)}) AS spans FROM p)
+SELECT doc_id, {counts}, sha256({text(f"[y for y in spans IF y.k < {BASE}]")}) AS base_sha256, {text("spans")} AS spans FROM s
+"""
+
+
+OP3_SQL = _sql()
