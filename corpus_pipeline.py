@@ -1,13 +1,15 @@
 """A training-corpus pipeline of five operators. Each stage takes (spark, docs, sf_dir) and returns the documents it keeps; the last returns the mix.
 
-Row and null handling is that of the operators: rows with a null id are scored, linked and scanned like others. Within a group of near
-duplicates the row with the smallest id stays; of rows equal in id, one."""
+Row and null handling is that of the operators: rows with a null id are scored, linked and scanned like others. A stage that removes documents numbers
+its rows first and removes by that number, so a verdict holds for its own row only, whatever ids are null or repeated. Within a group of
+near duplicates the row with the smallest id stays (null last). Of rows that stay and share an id that is not null, one does, chosen by a
+hash of their columns."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import decontaminate, mixing, secrets, simhash, toxicity
@@ -16,36 +18,43 @@ from sightline.llm._common import materialize, scratch, small, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written once, with a number row_ for each row."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_")), "numbered")
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs whose id is not in gone(doc_id); null ids compare equal."""
-    gone = gone.select(F.col("doc_id").alias("gone_id"))
-    return docs.join(small(gone.distinct()), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    """The rows of docs, which are numbered, whose number is not in gone(row_)."""
+    return docs.join(small(gone), "row_", "left_anti").select(COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at the threshold or above go."""
+    docs = numbered(docs)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scores = materialize(toxicity.score(docs, model), "toxic")
-    return without(docs, scores.where(F.col("score") >= toxicity.THRESHOLD)).select(COLUMNS)
+    scores = toxicity.score(docs, model, doc_id="row_").where(F.col("score") >= toxicity.THRESHOLD)
+    return without(docs, materialize(scores.select(F.col("doc_id").alias("row_")), "toxic"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest id."""
-    groups = materialize(simhash.near_duplicates(docs), "groups")
-    kept = without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    again = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1"), "again")
-    if again.limit(1).count():  # rows that share an id: one of each stays
-        order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-        shared = kept.join(small(again.select(F.col("doc_id").alias("again_id"))), kept["doc_id"].eqNullSafe(F.col("again_id")), "left_semi")
-        one = shared.withColumn("place_", F.row_number().over(order)).where("place_ = 1").drop("place_")
-        kept = without(kept, again).select(COLUMNS).unionByName(one.select(COLUMNS))
-    return kept.select(COLUMNS)
+    docs = numbered(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64(*COLUMNS[1:]).alias("hash"), "row_")
+    groups = simhash.near_duplicates(docs.select(place.alias("place"), "text"), doc_id="place")
+    groups = materialize(groups.select(F.col("doc_id").alias("place"), (F.col("doc_id.row_") == F.col("component_id.row_")).alias("first")), "groups")
+    # Representatives that share an id: one of each stays.
+    first = groups.where(F.col("first") & ~F.col("place.absent")).select(F.col("place.doc_id").alias("id"), "place")
+    again = materialize(first.groupBy("id").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1").select("id", "least"), "again")
+    shared = first.join(small(again), "id").where(F.col("place.row_") != F.col("least.row_"))
+    gone = groups.where(~F.col("first")).unionByName(shared.select("place", F.lit(False).alias("first")))
+    return without(docs, materialize(gone.select(F.col("place.row_").alias("row_")), "copies"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule names go; others stay as they are."""
-    hits = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontaminate.n_hit(F.col("hits")))
-    return without(docs, materialize(hits.where(decontaminate.contaminated()).select("doc_id"), "contaminated")).select(COLUMNS)
+    docs = numbered(docs)
+    hits = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), doc_id="row_").withColumn("n_hit", decontaminate.n_hit(F.col("hits")))
+    return without(docs, materialize(hits.where(decontaminate.contaminated()).select(F.col("doc_id").alias("row_")), "contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
