@@ -37,35 +37,64 @@ CONTAINERS = {"article", "main", "section", "div", "td", "body", "html", "center
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: An open element of these is closed by the start of the elements listed.
 CLOSES = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|topbar|footer|sidebar|aside|widgets?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|search|searchform|pagination|pager|skip|toolbar)(?=$|[\s_-])", re.I)
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond)(?=$|[\s_-])", re.I)
+REPLIES = re.compile(r"comments?|commentlist|disqus|repl(?:y|ies)|respond")
+NOISE = re.compile(rf"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|topbar|footer|sidebar|aside|widgets?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|social|share|sharing|related|recommend\w*|search|searchform|pagination|pager|skip|toolbar|{REPLIES.pattern}")
+#: Never main text, however long.
+FOREIGN = re.compile(rf"ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|{REPLIES.pattern}")
+#: Parts of a class name that say what an element has, lacks or is at the moment; parts that only name a box around the part before.
+MODIFIERS = {"has", "no", "not", "with", "without", "hide", "show"}
+STATES = {"open", "opened", "closed", "enabled", "disabled", "on", "off", "active", "visible"}
+FRAMES = {"wrap", "wrapper", "container", "inner", "outer", "box", "block", "area", "list", "item", "items", "content", "section", "left", "right", "top", "bottom", "row", "col", "column", "group"}
+TITLED = {"post", "entry", "article", "story", "content"}
+#: Elements told as furniture by class or id words only, which are judged by what they hold once the page is read.
+JUDGED = CONTAINERS - {"html", "body", "blockquote"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "dropped", "text", "linked", "blocks", "score", "in_article")
+    __slots__ = ("tag", "path", "parent", "dropped", "text", "linked", "blocks", "score", "in_article", "suspect", "foreign")
 
     def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool):
         self.tag, self.path, self.parent, self.dropped = tag, path, parent, dropped
         self.score, self.blocks = 0.0, 0
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
+        self.suspect: Node | None = parent.suspect if parent is not None else None  # the nearest element, this or around it, to be judged
+        self.foreign = False
 
 
 def attributes(s: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(s)} if s.strip() else {}
 
 
-def noisy(tag: str, attrs: dict[str, str], parent: Node | None) -> bool:
-    if tag == "header" and parent is not None and parent.in_article:
+def named(attrs: dict[str, str], words: re.Pattern, titled: bool = False) -> bool:
+    """Whether a class or id names one of the words: as its first or last part, boxes and numbers at its end aside. titled: within an article."""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        parts = [x for x in re.split("[-_]+", name) if x and not x.isdigit()]
+        if not parts or parts[-1] in STATES or not MODIFIERS.isdisjoint(parts):
+            continue
+        while len(parts) > 1 and parts[-1] in FRAMES:
+            parts.pop()
+        if parts[-1] == "header" and (titled or parts[0] in TITLED):
+            continue
+        if words.fullmatch(parts[0]) or words.fullmatch(parts[-1]):
+            return True
+    return False
+
+
+def hidden(tag: str, attrs: dict[str, str], parent: Node) -> bool:
+    """Left out whatever it holds."""
+    if tag == "header" and parent.in_article:
         return False  # an article's own title
     if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
         return True
-    if re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    words = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    if tag in ("html", "body"):
+    return bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
+
+
+def noisy(tag: str, attrs: dict[str, str], parent: Node) -> bool:
+    """Furniture by class or id words."""
+    if tag in ("html", "body") or (tag == "header" and parent.in_article) or not ("class" in attrs or "id" in attrs):
         return False
-    return bool((COMMENTS if tag in ("article", "main") or tag in HEADINGS else NOISE).search(words))
+    return named(attrs, REPLIES if tag in ("article", "main") or tag in HEADINGS else NOISE, parent.in_article)
 
 
 class Page:
@@ -73,6 +102,8 @@ class Page:
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[str, Node]] = []
+        self.read: list[tuple[str, Node, float, int, Node | None]] = []  # text, container, value, characters in links, suspect
+        self.articles: list[Node] = []
         self.containers: dict[int, Node] = {}
         self.top = Node("", "", None, False)
         self.open = [self.top]
@@ -80,6 +111,7 @@ class Page:
         self.links = self.depth_a = 0
         if source:
             self.parse(source)
+            self.settle()
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
@@ -90,15 +122,42 @@ class Page:
         at = next(n for n in reversed(self.open) if n.tag in CONTAINERS or n.parent is None)
         heading = any(n.tag in HEADINGS for n in self.open[-3:])
         value = 0.0 if heading else max(0, len(text) - 2 * links) * (1.0 if any(n.tag in ("p", "pre", "blockquote") for n in self.open[-4:]) else 0.6)
-        self.blocks.append((text, at))
-        node, share = at, 1.0
-        # A block counts in full for its container, half for the next one up, and so on.
-        while node is not None and share > 0.1:
-            node.score += value * share
-            self.containers[id(node)] = node
-            node, share = node.parent, share / 2
-            while node is not None and node.tag not in CONTAINERS and node.parent is not None:
-                node = node.parent
+        self.read.append((text, at, value, links, self.open[-1].suspect))
+
+    def settle(self) -> None:
+        """Drops the suspects, but for those that hold an article or most of the page's text outside links; scores the blocks that stay."""
+        def around(n: Node | None) -> Iterator[Node]:
+            while n is not None and n.suspect is not None:
+                yield n.suspect
+                n = n.suspect.parent
+
+        amount: dict[int, int] = {}
+        total = 0
+        for text, _, _, links, suspect in self.read:
+            over = list(around(suspect))
+            if any(n.foreign for n in over):
+                continue
+            size = max(0, len(text) - links)
+            total += size
+            for n in over:
+                amount[id(n)] = amount.get(id(n), 0) + size
+        whole: set[int] = set()
+        for a in self.articles:
+            over = list(around(a))
+            if not any(n.foreign for n in over):
+                whole.update(map(id, over))
+        for text, at, value, _, suspect in self.read:
+            if any(n.foreign or (id(n) not in whole and 2 * amount.get(id(n), 0) <= total) for n in around(suspect)):
+                continue
+            self.blocks.append((text, at))
+            node, share = at, 1.0
+            # A block counts in full for its container, half for the next one up, and so on.
+            while node is not None and share > 0.1:
+                node.score += value * share
+                self.containers[id(node)] = node
+                node, share = node.parent, share / 2
+                while node is not None and node.tag not in CONTAINERS and node.parent is not None:
+                    node = node.parent
 
     def close(self, i: int) -> None:
         self.flush()
@@ -155,10 +214,16 @@ class Page:
         path = parent.path
         if tag in BLOCKS:
             path += "/" + ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split())])
-        dropped = parent.dropped or noisy(tag, attrs, parent)
+        noise = not parent.dropped and noisy(tag, attrs, parent)
+        dropped = parent.dropped or hidden(tag, attrs, parent) or (noise and tag not in JUDGED)
         if parent.tag == "header" and parent.in_article and tag not in HEADINGS:
             dropped = True
-        self.open.append(Node(tag, path, parent, dropped))
+        node = Node(tag, path, parent, dropped)
+        if noise and not dropped:
+            node.suspect, node.foreign = node, named(attrs, FOREIGN)
+        if tag in ("article", "main") and not dropped and node.suspect is not node:
+            self.articles.append(node)
+        self.open.append(node)
         if tag == "a" and not dropped:
             self.depth_a += 1
         if rest.endswith("/") and tag not in BLOCKS:
