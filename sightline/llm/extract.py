@@ -1,14 +1,16 @@
 """HTML main text by consensus host paths.
 
 First pass: each page's containers are scored by the text of their blocks against its share in links, and the page votes for its best
-generalised tag-class paths (digits in class names become #). Votes are summed by host and path in Spark, with map-side sums, so a hot host is a few
-rows. Second pass: each page is extracted again at its host's winning path; a page without it uses its own best container.
+generalised tag-class paths (digits in class names become #), each widened to the widest element around it that adds main text only. Votes are summed by host and path in Spark, with map-side sums, so a hot host is a few
+rows. Second pass: each page is extracted again at its host's winning path; a page where that holds less than half the main
+text of its own best container uses its own.
 
 The winners are one short row for each host; they go to the tasks by broadcast up to a checked number of hosts and by a shuffled
 join, which AQE splits for hot hosts, beyond it.
 
 Left out: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and reader comments, told by tag, role
-and class or id words. A block's white space becomes single spaces; blocks are joined by an empty line.
+and class or id words; an element told by words only stays if it holds an article or most of the page's text outside links, but for adverts,
+notices and comments. A block's white space becomes single spaces; blocks are joined by an empty line.
 
 Defined results: null, empty or text-free html gives an empty text; a null url is a host of its own; repeated pages vote each for
 itself; ties between paths go to the higher score, then the first path; an empty table gives an empty result; columns besides
@@ -34,6 +36,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DROPPED = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "head", "option", "canvas", "audio", "video", "map", *RAW}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "html", "center", "blockquote", "table", "tbody", "tr"}
+RUNNING = {"p", "pre", "blockquote", "li", "dd", "td", "figcaption"}
+#: A wrapper's own paragraphs go together with the text in these within it, but not with that of other boxes.
+PARTS = {"section", "article", "blockquote", "table", "tbody", "tr", "td"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: An open element of these is closed by the start of the elements listed.
 CLOSES = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
@@ -102,7 +107,8 @@ class Page:
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[str, Node]] = []
-        self.read: list[tuple[str, Node, float, int, Node | None]] = []  # text, container, value, characters in links, suspect
+        self.content: list[bool] = []  # of each block: a heading, or running text
+        self.read: list[tuple[str, Node, float, int, Node | None, bool]] = []  # text, container, value, characters in links, suspect, content
         self.articles: list[Node] = []
         self.containers: dict[int, Node] = {}
         self.top = Node("", "", None, False)
@@ -122,7 +128,8 @@ class Page:
         at = next(n for n in reversed(self.open) if n.tag in CONTAINERS or n.parent is None)
         heading = any(n.tag in HEADINGS for n in self.open[-3:])
         value = 0.0 if heading else max(0, len(text) - 2 * links) * (1.0 if any(n.tag in ("p", "pre", "blockquote") for n in self.open[-4:]) else 0.6)
-        self.read.append((text, at, value, links, self.open[-1].suspect))
+        running = len(text) >= 60 or any(n.tag in RUNNING for n in self.open[-4:])
+        self.read.append((text, at, value, links, self.open[-1].suspect, 2 * links <= len(text) and (heading or running)))
 
     def settle(self) -> None:
         """Drops the suspects, but for those that hold an article or most of the page's text outside links; scores the blocks that stay."""
@@ -133,7 +140,7 @@ class Page:
 
         amount: dict[int, int] = {}
         total = 0
-        for text, _, _, links, suspect in self.read:
+        for text, _, _, links, suspect, _ in self.read:
             over = list(around(suspect))
             if any(n.foreign for n in over):
                 continue
@@ -146,10 +153,11 @@ class Page:
             over = list(around(a))
             if not any(n.foreign for n in over):
                 whole.update(map(id, over))
-        for text, at, value, _, suspect in self.read:
+        for text, at, value, _, suspect, main in self.read:
             if any(n.foreign or (id(n) not in whole and 2 * amount.get(id(n), 0) <= total) for n in around(suspect)):
                 continue
             self.blocks.append((text, at))
+            self.content.append(main)
             node, share = at, 1.0
             # A block counts in full for its container, half for the next one up, and so on.
             while node is not None and share > 0.1:
@@ -256,19 +264,74 @@ class Page:
                 total[n.path] = total.get(n.path, 0.0) + n.score * (1.5 if n.tag in ("article", "main") else 1.0)
         return sorted(total.items(), key=lambda x: (-x[1], x[0]))
 
-    def at(self, path: str | None) -> str:
-        """Text of all blocks within elements of this path."""
-        def within(n: Node | None) -> bool:
-            while n is not None:
-                if n.path == path:
-                    return True
+    def ranked(self, top: int = 3) -> list[tuple[str, float]]:
+        """The best paths, each widened, without repeats."""
+        out: dict[str, float] = {}
+        for path, score in self.best()[:top]:
+            out.setdefault(self.widened(path), score)
+        return list(out.items())
+
+    def holders(self, path: str) -> list[Node | None]:
+        """For each block the element of this path that holds it, if any."""
+        held: dict[int, Node | None] = {}
+
+        def holder(n: Node | None) -> Node | None:
+            while n is not None and n.path != path:
                 n = n.parent
-            return False
+            return n
+
+        return [held[id(n)] if id(n) in held else held.setdefault(id(n), holder(n)) for _, n in self.blocks]
+
+    def widened(self, path: str) -> str:
+        """The path, or the widest around it that adds main text only."""
+        node = next((n for n in self.containers.values() if n.path == path), None)
+        if node is None or node.tag in ("body", "html"):
+            return path
+        inside = [n is not None for n in self.holders(path)]
+        node = node.parent
+        while node is not None and node.parent is not None and node.tag not in ("body", "html"):
+            if node.tag in CONTAINERS and self.adds_content(node, inside):
+                path = node.path
+            node = node.parent
+        return path
+
+    def adds_content(self, wide: Node, inside: list[bool]) -> bool:
+        """Whether elements of this path add main text to the blocks inside: for an article or main element, more of it than of other text, or hardly
+        any other; else content blocks alone, some of which are the element's own and the others in parts of it such as sections."""
+        size = extra = other = 0
+        own, whole = False, wide.tag in ("article", "main")
+        for (text, at), main, in_, holder in zip(self.blocks, self.content, inside, self.holders(wide.path), strict=True):
+            if in_:
+                size += len(text)
+            elif holder is not None and main:
+                extra += len(text)
+                own = own or at is holder
+                n = at
+                while not whole and n is not None and n is not holder:
+                    if n.tag in CONTAINERS and n.tag not in PARTS:
+                        return False
+                    n = n.parent
+            elif holder is not None:
+                other += len(text)
+        return extra > 0 and (extra > other or 10 * other <= size + extra) if whole else own and other == 0
 
+    def at(self, path: str | None) -> str:
+        """Text of all blocks within elements of this path."""
         if path is None:
             return "\n\n".join(t for t, _ in self.blocks)
-        held: dict[int, bool] = {}
-        return "\n\n".join(t for t, n in self.blocks if held.setdefault(id(n), within(n)))
+        return "\n\n".join(t for (t, _), n in zip(self.blocks, self.holders(path), strict=True) if n is not None)
+
+    def main(self, path: str | None) -> str:
+        """Text at the host's path, or at the page's own best one if the host's holds less than half as much main text, or none."""
+        own = self.ranked(1)
+        if path is None or not own:
+            return self.at(own[0][0] if own else None)
+        if path != own[0][0]:
+            amount = lambda p: sum(len(t) for (t, _), main, n in zip(self.blocks, self.content, self.holders(p), strict=True) if main and n is not None)
+            text = self.at(path)
+            if not text or 2 * amount(path) < amount(own[0][0]):
+                path = own[0][0]
+        return self.at(path)
 
 
 def host(url) -> F.Column:
@@ -281,7 +344,7 @@ def votes(pages: DataFrame, top: int = 3) -> DataFrame:
         for b in batches:
             rows: dict[tuple[str, str], list[float]] = {}
             for h, t in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-                for k, (path, s) in enumerate(Page(t.as_py()).best()[:top]):
+                for k, (path, s) in enumerate(Page(t.as_py()).ranked(top)):
                     v = rows.setdefault((h, path), [0.0, 0.0])
                     v[0] += 1 / (k + 1)
                     v[1] += s
@@ -306,12 +369,7 @@ def extract(pages: DataFrame, host_rows: int = 200_000) -> DataFrame:
         for b in batches:
             out = []
             for t, path in zip(b.column("html"), b.column("path").to_pylist(), strict=True):
-                page = Page(t.as_py())
-                text = page.at(path) if path is not None else ""
-                if not text:
-                    own = page.best()
-                    text = page.at(own[0][0] if own else None)
-                out.append(text)
+                out.append(Page(t.as_py()).main(path))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     id_type = rows.schema["page_id"].dataType.simpleString()
