@@ -134,6 +134,15 @@ def blocks(benchmark: DataFrame, block_words: int, item_id: str, text: str) -> I
         yield block
 
 
+def with_last(found: Iterator[list[tuple]]) -> Iterator[tuple[list[tuple], bool]]:
+    """Each block and whether it is the last, one block ahead; without blocks an empty one."""
+    now = next(found, [])
+    while now is not None:
+        after = next(found, None)
+        yield now, after is None
+        now = after
+
+
 HITS = "n_words long, hits array<struct<a:int,b:int>>, items array<string>"
 
 
@@ -142,10 +151,9 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = B
     spark = docs.sparkSession
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = kept.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<struct<a:int,b:int>>"), "items": F.array().cast("array<string>")})
-    passes = list(blocks(benchmark, block_words, item_id, item_text)) or [[]]
-    for k, block in enumerate(passes):
+    for block, last in with_last(blocks(benchmark, block_words, item_id, item_text)):
         held = spark.sparkContext.broadcast(Windows(block, n))
-        with_text = keep_text or k < len(passes) - 1
+        with_text = keep_text or not last
         fields = [f for f in out.schema.fields if with_text or f.name != "text"]
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, names=[f.name for f in fields]) -> Iterator[pa.RecordBatch]:
