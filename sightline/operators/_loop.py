@@ -25,17 +25,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fixpoint(start: DataFrame, keys: list[str], step: Callable[[DataFrame], DataFrame], limit: int = 10_000) -> DataFrame:
+def fixpoint(start: DataFrame, keys: list[str], step: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
     """Least cost for each key. start: keys, cost, parent and any further columns; step: the same columns, reached from the rows given (those that
-    improved in the last round). Of equal costs the earlier round stays, within a round the least (parent, further columns)."""
+    improved in the last round). Of equal costs the earlier round stays, within a round the least (parent, further columns). Rounds go on until nothing
+improves; where a limit is given, rows that still improve then are an error."""
     rest = [c for c in start.columns if c not in keys]
     pack = lambda df, n: df.select(*keys, F.struct(F.col("cost"), F.lit(n).alias("round"), *(F.col(c) for c in rest if c != "cost")).alias("s"))
     state = written(pack(start, 0).groupBy(*keys).agg(F.min("s").alias("s")))
     n = 0
-    while n < limit:
+    while True:
         fresh = state.where(F.col("s.round") == n).select(*keys, *(F.col(f"s.{c}").alias(c) for c in rest))
         if n and fresh.limit(1).count() == 0:
             break
+        if n == limit:
+            raise RuntimeError(f"costs still improve after {limit} rounds")
         n += 1
         state = written(state.unionByName(pack(step(fresh), n)).groupBy(*keys).agg(F.min("s").alias("s")))
     return state.select(*keys, *(F.col(f"s.{c}").alias(c) for c in rest))
