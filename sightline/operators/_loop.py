@@ -2,43 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard, written
 
-def shared(spark) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sightline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sightline/rounds-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    path = shared(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "fixpoint", "written"]
 
 
 def fixpoint(start: DataFrame, keys: list[str], step: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
     """Least cost for each key. start: keys, cost, parent and any further columns; step: the same columns, reached from the rows given (those that
     improved in the last round). Of equal costs the earlier round stays, within a round the least (parent, further columns). Rounds go on until nothing
-improves; where a limit is given, rows that still improve then are an error."""
+improves; where a limit is given, rows that still improve then are an error.
+
+    A round writes only the rows that improve. The state is the set of these tables: a candidate is held against the least cost of its own key
+    there, so rounds of few candidates read the state but shuffle little of it."""
     rest = [c for c in start.columns if c not in keys]
-    pack = lambda df, n: df.select(*keys, F.struct(F.col("cost"), F.lit(n).alias("round"), *(F.col(c) for c in rest if c != "cost")).alias("s"))
-    state = written(pack(start, 0).groupBy(*keys).agg(F.min("s").alias("s")))
-    n = 0
+    pack = lambda df, n: df.select(*keys, F.struct(F.col("cost"), F.lit(n).alias("round"), *(F.col(c) for c in rest if c != "cost")).alias("s")).groupBy(*keys).agg(F.min("s").alias("s"))
+    rounds = [written(pack(start, 0))]
     while True:
-        fresh = state.where(F.col("s.round") == n).select(*keys, *(F.col(f"s.{c}").alias(c) for c in rest))
-        if n and fresh.limit(1).count() == 0:
+        fresh = rounds[-1].select(*keys, *(F.col(f"s.{c}").alias(c) for c in rest))
+        if fresh.limit(1).count() == 0:
             break
-        if n == limit:
+        n = len(rounds)
+        if limit is not None and n > limit:
             raise RuntimeError(f"costs still improve after {limit} rounds")
-        n += 1
-        state = written(state.unionByName(pack(step(fresh), n)).groupBy(*keys).agg(F.min("s").alias("s")))
-    return state.select(*keys, *(F.col(f"s.{c}").alias(c) for c in rest))
+        found = written(pack(step(fresh), n))
+        state = reduce(DataFrame.unionByName, rounds).select(*keys, F.col("s.cost").alias("least"))
+        least = state.join(found.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("least").alias("least"))
+        rounds.append(written(found.join(least, keys, "left").where("least is null or s.cost < least").drop("least")))
+        discard(found)
+    best = reduce(DataFrame.unionByName, rounds).groupBy(*keys).agg(F.min("s").alias("s"))
+    return best.select(*keys, *(F.col(f"s.{c}").alias(c) for c in rest))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ._loop import fixpoint, written
+from ..scratch import numbered, written
+from . import _local
 from .isovist import ring_edges
+from .stars import stars
 
 
 class DisconnectedGraphError(ValueError):
@@ -39,18 +42,27 @@ def degree(edges: DataFrame, centres: DataFrame) -> DataFrame:
     return centres.select("id").join(n, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def components(edges: DataFrame, centres: DataFrame) -> DataFrame:
+def components(edges: DataFrame, centres: DataFrame, arcs: int = _local.ARCS) -> DataFrame:
     """id, component: numbered from 0 by the least node of each."""
-    start = centres.select("id", F.col("id").cast("double").alias("cost"), F.lit(0).cast("long").alias("parent"))
-    step = lambda f: f.join(edges.select("src", "dst"), F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "cost", "parent")
-    least = fixpoint(start, ["id"], step)
-    names = least.select("cost").distinct()
-    rank = names.join(names.select(F.col("cost").alias("c2")), F.col("c2") < F.col("cost"), "left").groupBy("cost").agg(F.count("c2").alias("component"))
-    return least.join(rank, "cost").select("id", "component")
+    spark, nodes = centres.sparkSession, centres.select("id")
+    if (net := _local.net(edges, arcs)) is not None:
+        root = spark.createDataFrame([], "node long, root long") if not len(net.ids) else spark.createDataFrame(_frame(node=net.ids, root=net.ids[net.components()]))
+    else:
+        root = stars(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    least = written(nodes.join(root, nodes["id"] == root["node"], "left").select("id", F.coalesce("root", "id").alias("root")))
+    names = numbered(least.where("id = root").select("root"), "root", "component")
+    return least.join(names, "root").select("id", "component")
+
+
+def _frame(**columns: np.ndarray):
+    import pyarrow as pa
+
+    return pa.table(columns)
 
 
 def component_sizes(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("component").agg(F.count("*").alias("size"))
+    """component, size: the largest first, of equal ones the lower number."""
+    return parts.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component")
 
 
 def require_connected(parts: DataFrame) -> None:
@@ -59,19 +71,40 @@ def require_connected(parts: DataFrame) -> None:
         raise DisconnectedGraphError(f"the visibility graph has {n} components; heal it or allow islands")
 
 
-def depths(edges: DataFrame, anchors: DataFrame) -> DataFrame:
-    """anchor, id, depth, paths: hops from each anchor to each node it reaches, and the number of shortest paths. By levels."""
+DEPTHS = "anchor long, id long, depth int, paths double"
+
+
+def depths(edges: DataFrame, anchors: DataFrame, arcs: int = _local.ARCS) -> DataFrame:
+    """anchor, id, depth, paths: hops from each anchor to each node it reaches, and the number of shortest paths."""
+    if (net := _local.net(edges, arcs)) is not None:
+        def search(graph, row):
+            at = graph.place(row["id"])
+            if at < 0:
+                yield {"anchor": row["id"], "id": [row["id"]], "depth": 0, "paths": 1.0}
+                return
+            depth, paths, _ = graph.levels(at)
+            got = np.flatnonzero(depth >= 0)
+            yield {"anchor": row["id"], "id": graph.ids[got], "depth": depth[got], "paths": paths[got]}
+
+        return written(_local.each(anchors.select("id"), net, search, DEPTHS))
+    # By levels, each a table of its own. A level's neighbours lie in it, the one before or the next (edges go both ways), so a new level is
+    # held against these two only.
     e = edges.select("src", "dst")
-    reached = written(anchors.select(F.col("id").alias("anchor"), "id", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))
-    k = 0
+    levels = [written(anchors.select(F.col("id").alias("anchor"), "id", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))]
     while True:
-        front = reached.where(F.col("depth") == k)
+        front = levels[-1]
+        near = front.unionByName(levels[-2]) if len(levels) > 1 else front
         new = front.join(e, front["id"] == e["src"]).groupBy("anchor", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        new = written(new.join(reached.select("anchor", "id"), ["anchor", "id"], "left_anti").select("anchor", "id", F.lit(k + 1).alias("depth"), "paths"))
+        new = written(new.join(near.select("anchor", "id"), ["anchor", "id"], "left_anti").select("anchor", "id", F.lit(len(levels)).alias("depth"), "paths"))
         if new.limit(1).count() == 0:
-            return reached
-        reached = written(reached.unionByName(new))
-        k += 1
+            return _all(levels).select(*(c.split()[0] for c in DEPTHS.split(", ")))
+        levels.append(new)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    """Tables written one by one, read as one."""
+    spark = tables[0].sparkSession
+    return spark.read.schema(tables[0].schema).parquet(*sorted({f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}))
 
 
 def topo_status(depth: DataFrame, centres: DataFrame) -> DataFrame:
