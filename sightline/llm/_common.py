@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, fresh, if_small, written
+
+__all__ = ["BROADCAST_ROWS", "WS", "discard", "fold", "folded", "materialize", "n_words", "scratch", "small", "table"]
 #: White space of the word rules, as a Java character class.
 WS = r"\x20\x09-\x0D"
 #: Rows of a single-long-column table that may be broadcast (about 32 MB as a hash relation).
@@ -19,40 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests) an own one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sightline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/sightline/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder all executors share."""
+    return fresh(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and rereads it, so lost executors cost a reread only."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files under a materialised table that nothing refers to any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/sightline/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    return written(df, name)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most `rows` rows; else as it is, and the join shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return if_small(df, rows)
 
 
 def folded(doc_id: Column, mod: int) -> Column:

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, table
+from ..operators.stars import stars
+from ._common import materialize, table
 
 SHINGLE, SEED, RADIUS, TILE, SUB = 3, 42, 2, 1024, 256
 
@@ -132,25 +133,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it reaches) for each node of the edges u, v; alternating stars, O(log n) rounds."""
-    pairs = lambda df: df.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    now = materialize(pairs(edges), "edges")
-    seen = state(now)
-    while seen[0]:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = pairs(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_ = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        before, old = seen, now
-        now = materialize(pairs(small_), "edges")
-        seen = state(now)
-        discard(large)
-        discard(old)
-        if seen == before:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars(edges)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
