@@ -6,9 +6,14 @@ proportion to its number of distinct symbols. Symbol exclusion: what a longer co
 what a context has seen its suffix has seen too, exclusion leaves two numbers for each context, and a text is scored by
 hash look-ups of whole batches.
 
-The trie goes to the tasks in blocks of about `block` cells, dealt by the three bytes before a symbol. All cells that share these bytes (at most
-2^16, as ORDER is 4) are in one block, and with the contexts of up to two bytes (at most 2^24 cells) a block scores its positions alone.
-A task holds one block at a time; where there are several it runs each batch of text through all of them.
+The probability of a gram is a function of the gram alone. So the distinct grams of all documents, with their training counts, are dealt to blocks of
+about `block` cells by the two bytes before a symbol: all cells that share these bytes are in one block, and with the contexts of up to one byte (at
+most 2^16 + 2^8 cells, sent to every task) a block finds the probabilities of its grams alone, in one task, and writes them. No block passes
+through the driver and none is repeated. The grams of one pair of bytes are never divided: at most 2^24 cells.
+
+Texts meet the probabilities in two ways: the most frequent grams, at most `head_grams`, go to the tasks as a hash table; the others, each rare, are
+joined by gram and summed by row, so no frequent gram is ever a join key. A text is read once for the counts and once for its score, whatever the
+size of the trie.
 
 Base: each token's training count. The most frequent tokens, at most `head`, go to the tasks by broadcast; the other
 tokens, each rare, are joined by token, so no frequent token is ever a join key. Both parts are exact.
@@ -22,17 +27,20 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, folded, materialize, scratch, table
+from ._common import discard, fold, folded, materialize, table
 
 #: The end token cannot be a word: it has white space in it.
 END = b"\n"
-ORDER, BLOCK, HEAD = 4, 4_000_000, 200_000
+ORDER, BLOCK, HEAD, HEAD_GRAMS = 4, 400_000, 200_000, 2_000_000
+#: Bytes before a symbol by which cells are dealt to blocks.
+DEALT = 2
 MOD, OUT = 7, 2
 
 
@@ -62,11 +70,11 @@ def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """gram (long), n: over all rows. Each task sums what it has before anything moves, in bounded memory."""
+def count_grams(docs: DataFrame, text: str = "text", training: str = "training") -> DataFrame:
+    """gram (long), n: over training rows, m: over the others. Each task sums what it has before anything moves, in bounded memory."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # a key is a gram and one bit: whether its row is none of training's
 
         def merge() -> None:
             nonlocal keys, n
@@ -75,14 +83,16 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
             keys, n = add_up(np.concatenate([keys, new[0]]), np.concatenate([n, new[1]]))
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["gram", "n"])
+            other = (keys & np.uint64(1)).astype(bool)
+            return pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array(np.where(other, 0, n)), pa.array(np.where(other, n, 0))], names=["gram", "n", "m"])
 
         for b in batches:
-            for t in b.column(text):
+            for t, train in zip(b.column(text), b.column(training).to_pylist(), strict=True):
                 data = (t.as_py() or "").encode("utf-8", "replace")
                 for i in range(0, len(data), 1 << 20):
-                    held.append(grams(data[max(0, i - ORDER) : i + (1 << 20)])[min(i, ORDER) :])
-                    size += len(held[-1])
+                    g = grams(data[max(0, i - ORDER) : i + (1 << 20)])[min(i, ORDER) :]
+                    held.append((g << np.uint64(1)) | np.uint64(not train))
+                    size += len(g)
                     if size > 4_000_000:
                         merge()
                         size = 0
@@ -94,7 +104,7 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
         if len(keys):
             yield rows()
 
-    return docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(text, training).mapInArrow(count, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class Index:
@@ -150,19 +160,23 @@ class Level:
             some = kinds > 0
             self.under = np.log10(np.where(some, left + np.where(below.seen[suffix] < 256, kinds, 0), 1)).astype(np.float32)
             self.under_escape = np.log10(np.where(some, kinds / np.maximum(left + kinds, 1), 1)).astype(np.float32)
-        self.cells, self.contexts = Index(self.gram), Index(self.ctx)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("n", "total")}
+    @cached_property
+    def cells(self) -> Index:
+        return Index(self.gram)
+
+    @cached_property
+    def contexts(self) -> Index:
+        return Index(self.ctx)
 
 
 class Trie:
-    """One block. short: grams (3 bytes) of the contexts of up to two bytes, all of them; gram: those of this block; either with counts."""
+    """One block. short: grams of the contexts of fewer than `shared` bytes, all of them; gram: those of this block; either with counts."""
 
-    def __init__(self, short: np.ndarray, short_n: np.ndarray, gram: np.ndarray, n: np.ndarray):
+    def __init__(self, short: np.ndarray, short_n: np.ndarray, gram: np.ndarray, n: np.ndarray, shared: int = 3):
         self.levels: list[Level] = []
         for order in range(ORDER + 1):
-            keys, sums = add_up(*((short & low(order + 1), short_n) if order < 3 else (gram & low(order + 1), n)))
+            keys, sums = add_up(*((short & low(order + 1), short_n) if order < shared else (gram & low(order + 1), n)))
             self.levels.append(Level(order, keys, sums.astype(float), self.levels[-1] if order else None))
         self.unseen = -math.log10(max(1, 256 - len(self.levels[0].gram)))
 
@@ -190,40 +204,65 @@ class Trie:
         return out
 
 
-def block_of(gram, blocks: int):
-    """The block of a gram, a column or an array, by the three bytes before its last."""
-    if isinstance(gram, np.ndarray):
-        suffix = (gram >> np.uint64(8)) & low(3)
-        return (((suffix * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)) % np.uint64(blocks)
-    suffix = F.shiftright(gram, 8).bitwiseAND(F.lit((1 << 24) - 1))
+def block_of(gram: F.Column, blocks: int) -> F.Column:
+    """The block of a gram by the DEALT bytes before its last."""
+    suffix = F.shiftright(gram, 8).bitwiseAND(F.lit((1 << 8 * DEALT) - 1))
     return F.shiftright((suffix * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % blocks
 
 
-class Model:
-    """Broadcast tries, one for each block."""
+def probabilities(counts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """gram, logp (log10), f (how often it occurs in all rows), block by block. counts: gram, n, m."""
+    spark = counts.sparkSession
+    blocks = max(1, -(-counts.count() // block))
+    mask = F.lit((1 << 8 * DEALT) - 1)
+    got = counts.where("n > 0").groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most 2^16 rows
+    short = spark.sparkContext.broadcast((got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy()))
+
+    def find(t: pa.Table) -> pa.Table:
+        gram, n, m = (t.column(c).to_numpy() for c in ("gram", "n", "m"))
+        order = np.argsort(gram)
+        gram, n, m = gram[order].astype(np.uint64), n[order], m[order]
+        seen = n > 0
+        trie = Trie(*short.value, gram[seen], n[seen], shared=DEALT)
+        logp = np.zeros(len(gram))
+        logp[seen] = trie.levels[ORDER].logp
+        logp[~seen] = trie.logs(gram[~seen])
+        return pa.table({"gram": gram.astype(np.int64), "logp": logp, "f": n + m})
+
+    return counts.withColumn("block", block_of(F.col("gram"), blocks)).groupBy("block").applyInArrow(find, "gram long, logp double, f long")
+
+
+def least_of_head(counts: DataFrame, f: str, head: int) -> int:
+    """The least count of the head: at most `head` rows of counts have it or more in column f. From the number of rows by size class (a few hundred)."""
+    sizes = counts.groupBy(F.floor(F.log2(F.col(f).cast("double")) * 16).alias("size")).agg(F.count("*").alias("rows"), F.min(f).alias("least"), F.max(f).alias("most")).orderBy(F.desc("size")).collect()
+    edge, rows = (sizes[0]["most"] if sizes else 0) + 1, 0
+    for x in sizes:
+        if (rows := rows + x["rows"]) > head:
+            break
+        edge = x["least"]
+    return edge
 
-    def __init__(self, parts: list):
-        self.parts = parts
 
-    def _logs(self, g: np.ndarray) -> np.ndarray:
-        if len(self.parts) == 1:
-            return self.parts[0].value.logs(g)
-        out, block = np.zeros(len(g)), block_of(g, len(self.parts))
-        for i, part in enumerate(self.parts):
-            if len(at := np.flatnonzero(block == i)):
-                out[at] = part.value.logs(g[at])
-                part.__dict__.pop("_value", None)  # one block in memory; the next use reads it again from the executor's disk
-        return out
+class Head:
+    """The most frequent grams and their logarithms."""
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text, in bounded memory for any text."""
-        most = 1 << 20 if len(self.parts) == 1 else 1 << 22
+    def __init__(self, gram: np.ndarray, logp: np.ndarray):
+        self.index, self.logp = Index(gram), logp
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
+        """For each text the sum of the logarithms held, and the grams not held, in bounded memory besides these."""
         out, held, rows, size = np.zeros(len(texts)), [], [], 0
+        tail, tail_rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def flush() -> None:
-            logs = self._logs(np.concatenate(held))
-            ends = np.cumsum([len(x) for x in held])
-            np.add.at(out, rows, np.add.reduceat(logs, np.append(0, ends[:-1])))
+            g = np.concatenate(held)
+            at = self.index.find(g)
+            logs = np.where(at >= 0, self.logp[at], 0.0) if len(self.logp) else np.zeros(len(g))
+            size_ = [len(x) for x in held]
+            np.add.at(out, rows, np.add.reduceat(logs, np.append(0, np.cumsum(size_)[:-1])))
+            miss = np.flatnonzero(at < 0)
+            tail.append(g[miss].astype(np.int64))
+            tail_rows.append(np.repeat(np.array(rows), size_)[miss])
             held.clear()
             rows.clear()
 
@@ -232,40 +271,27 @@ class Model:
                 held.append(grams(data[max(0, i - ORDER) : i + (1 << 18)])[min(i, ORDER) :])
                 rows.append(row)
                 size += len(held[-1])
-                if size >= most:
+                if size >= 1 << 20:
                     flush()
                     size = 0
         if held:
             flush()
-        return out
+        ends = np.searchsorted(np.concatenate(tail_rows), np.arange(len(texts) + 1))
+        return out, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tail)))
 
 
-def fit(training: DataFrame, block: int = BLOCK, text: str = "text") -> Model:
-    """Counts all grams of all texts. The driver builds one block after the other and keeps none."""
-    spark = training.sparkSession
-    counts = materialize(count_grams(training, text), "grams")
-    blocks = max(1, -(-counts.count() // block))
-    if blocks > 1:
-        path = scratch(spark, "blocks")
-        counts.withColumn("block", block_of(F.col("gram"), blocks)).repartition("block").write.partitionBy("block").parquet(path)
-        cells = spark.read.schema("gram long, n long, block int").parquet(path)
-    else:
-        cells = counts.withColumn("block", F.lit(0))
-
-    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = df.select("gram", "n").toArrow()
-        return got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy()
-
-    short = arrays(counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 24) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
-    return Model([spark.sparkContext.broadcast(Trie(*short, *arrays(cells.where(F.col("block") == i)))) for i in range(blocks)])
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = MOD, out: int = OUT, head: int = HEAD, block: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = MOD, out: int = OUT, head: int = HEAD, block: int = BLOCK, head_grams: int = HEAD_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    training = rows.where(folded(F.col("doc_id"), mod) != out)
-    model = fit(training, block)
+    in_training = folded(F.col("doc_id"), mod) != out
+    training = rows.where(in_training)
+    grams_ = materialize(count_grams(rows.select("text", in_training.alias("training"))), "grams")
+    cells = materialize(probabilities(grams_, block), "cells")
+    discard(grams_)
+    gram_edge = least_of_head(cells, "f", head_grams)
+    top = cells.where(F.col("f") >= gram_edge).select("gram", "logp").toArrow()  # at most head_grams rows
+    frequent = spark.sparkContext.broadcast(Head(top.column("gram").to_numpy().astype(np.uint64), top.column("logp").to_numpy()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -287,13 +313,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
     counts = materialize(counts, "tokens")
     known, total = counts.agg(F.count("*"), F.sum("n")).first()
     total = total or 0
-    # The least count of the head, from the number of tokens by size class (a few hundred rows): at most `head` tokens have it or more.
-    sizes = counts.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 16).alias("size")).agg(F.count("*").alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("size")).collect()
-    edge, n_head = (sizes[0]["least"] if sizes else 0) + total, 0
-    for x in sizes:
-        if (n_head := n_head + x["tokens"]) > head:
-            break
-        edge = x["least"]
+    edge = least_of_head(counts, "n", head)
     top = counts.where(F.col("n") >= edge).toPandas()
     rare_left = len(top) < known
     held = spark.sparkContext.broadcast(dict(zip(map(bytes, top["token"]), np.log10(top["n"].to_numpy(float) + 1).tolist(), strict=True)))
@@ -302,7 +322,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = held.value.get
         for b in (big.slice(i, 1000) for big in batches for i in range(0, big.num_rows, 1000)):
-            ids, cols = b.column("doc_id"), {k: [] for k in ("n_tokens", "n_known", "base", "score", "rare")}
+            ids, cols = b.column("doc_id"), {k: [] for k in ("n_tokens", "n_known", "base", "rare")}
             texts = []
             for t in b.column("text"):
                 t = t.as_py() or ""
@@ -314,20 +334,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
                 cols["n_known"].append(len(hits))
                 cols["base"].append(math.fsum(hits))
                 texts.append(t.encode("utf-8", "replace"))
-            cols["score"] = model.score(texts)
-            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.binary())}
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, kinds[k]) for k, v in cols.items())], names=["doc_id", *cols])
+            sums, tail = frequent.value.score(texts)
+            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "rare": pa.list_(pa.binary())}
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, kinds[k]) for k, v in cols.items()), pa.array(sums), tail], names=["doc_id", *cols, "score", "tail"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    part = rows.mapInArrow(first, f"doc_id {id_type}, n_tokens long, n_known long, base double, score double, rare array<binary>")
+    part = rows.mapInArrow(first, f"doc_id {id_type}, n_tokens long, n_known long, base double, rare array<binary>, score double, tail array<bigint>")
     # Written once, so that the row number stays what it is whatever is lost later.
     part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = part.select("row", F.explode("rare").alias("token"))
     tail = counts.where(F.col("n") < edge).withColumnRenamed("n", "c")
     more = rare.join(tail, "token").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
-    done = part.drop("rare").join(more, "row", "left")
+    seldom = part.select("row", F.explode("tail").alias("gram")).join(cells.where(F.col("f") < gram_edge).select("gram", "logp"), "gram").groupBy("row").agg(F.sum("logp").alias("seldom"))
+    done = part.drop("rare", "tail").join(more, "row", "left").join(seldom, "row", "left")
     value = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(shift)
-    return done.select("doc_id", (folded(F.col("doc_id"), mod) == out).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), value.alias("base_score"), "score")
+    return done.select("doc_id", (folded(F.col("doc_id"), mod) == out).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), value.alias("base_score"), (F.col("score") + F.coalesce("seldom", F.lit(0.0))).alias("score"))
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
