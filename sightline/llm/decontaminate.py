@@ -4,8 +4,10 @@ The benchmark's windows (13 consecutive words; a shorter item is one window) bec
 documents are scanned batch by batch: words to numbers by one dictionary look-up each, window hashes as array
 arithmetic over the whole batch, candidates verified word by word. A hit marks its words.
 
-Bounded broadcast: items are taken in blocks of at most `block_words` words; each block is one pass over the rows, which
-carry their hits as (start, end) ranges, so no block needs a shuffle. An item larger than a block is a block of its own.
+Bounded broadcast: items are taken in blocks of at most `block_words` words, read one ahead from a streamed benchmark; each block is one pass over the
+rows. One block is one pass in one job. Of several, all but the last are jobs of their own that write the hits, (start, end) ranges, of the rows that
+have any, so a worker holds one block at a time and texts never move; the last pass meets these hits by row. An item larger than a block is a
+block of its own.
 
 Defined results: a null text has no words; a null item id is not listed but its windows count; equal item ids count once;
 repeated documents are judged each for itself; an empty benchmark leaves every document clean.
@@ -15,14 +17,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._common import table
+from ._common import materialize, table
 
 N = 13
 BLOCK_WORDS = 2_000_000
@@ -143,35 +147,55 @@ def with_last(found: Iterator[list[tuple]]) -> Iterator[tuple[list[tuple], bool]
         now = after
 
 
-HITS = "n_words long, hits array<struct<a:int,b:int>>, items array<string>"
-
-
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = BLOCK_WORDS, keep_text: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, [text], n_words, hits (merged word ranges) and items (sorted ids) of each document."""
     spark = docs.sparkSession
-    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = kept.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<struct<a:int,b:int>>"), "items": F.array().cast("array<string>")})
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    spans, names, parts = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string()), []
+    found = "hits array<struct<a:int,b:int>>, items array<string>"
+
+    def scanned(b: pa.RecordBatch, windows: Windows) -> tuple[list[list[bytes]], list[list], list[list]]:
+        docs_ = [words(t) for t in b.column("text").to_pylist()]
+        return docs_, *windows.scan(docs_)
+
+    def ranges_of(x: list) -> pa.Array:
+        return pa.array([[{"a": a, "b": e} for a, e in merged(r)] for r in x], spans)
+
+    def one_pass(df: DataFrame, windows, only_hits: bool) -> DataFrame:
+        keep = [f for f in df.schema.fields if f.name != "text" or (keep_text and not only_hits)]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (part for big in batches for part in slices(big)):
+                docs_, ranges, items = scanned(b, windows.value)
+                out = pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array([len(d) for d in docs_], pa.int64()), ranges_of(ranges), pa.array(items, names)], names=[*(f.name for f in keep), "n_words", "hits", "items"])
+                yield out.filter(pa.array([bool(r) for r in ranges], pa.bool_())) if only_hits else out
+
+        return df.mapInArrow(scan, StructType([*keep, *StructType.fromDDL(f"n_words long, {found}").fields]))
+
     for block, last in with_last(blocks(benchmark, block_words, item_id, item_text)):
-        held = spark.sparkContext.broadcast(Windows(block, n))
-        with_text = keep_text or not last
-        fields = [f for f in out.schema.fields if with_text or f.name != "text"]
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held, names=[f.name for f in fields]) -> Iterator[pa.RecordBatch]:
-            for big in batches:
-                for b in slices(big):
-                    docs_ = [words(t) for t in b.column("text").to_pylist()]
-                    ranges, items = held.value.scan(docs_)
-                    cols = {name: b.column(name) for name in names}
-                    cols["n_words"] = pa.array([len(d) for d in docs_], pa.int64())
-                    old = [[(x["a"], x["b"]) for x in v] for v in b.column("hits").to_pylist()]
-                    cols["hits"] = pa.array([[{"a": a, "b": e} for a, e in merged(o + r)] for o, r in zip(old, ranges, strict=True)], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-                    cols["items"] = pa.array([sorted({*o, *i}) for o, i in zip(b.column("items").to_pylist(), items, strict=True)], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([cols[n_] for n_ in names], names=names)
-
-        from pyspark.sql.types import StructType
-
-        out = out.mapInArrow(scan, StructType(fields))
-    return out
+        windows = spark.sparkContext.broadcast(Windows(block, n))
+        if not last and not parts:
+            rows = materialize(rows.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+        if not last:
+            parts.append(materialize(one_pass(rows.select("row_", "text"), windows, True), "hits"))
+            windows.unpersist()
+    out = one_pass(rows, windows, False)
+    if not parts:
+        return out
+    # Rows with hits of several blocks: few and short, without texts.
+    earlier = reduce(DataFrame.unionByName, parts).groupBy("row_").agg(F.flatten(F.collect_list("hits")).alias("hits2"), F.flatten(F.collect_list("items")).alias("items2"))
+    both = out.join(earlier, "row_", "left").drop("row_")
+    fields = [f for f in both.schema.fields if f.name not in ("hits2", "items2")]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = {c: [v or [] for v in b.column(c).to_pylist()] for c in ("hits", "items", "hits2", "items2")}
+            cols = {f.name: b.column(f.name) for f in fields}
+            cols["hits"] = ranges_of([[(x["a"], x["b"]) for x in h + k] for h, k in zip(more["hits"], more["hits2"], strict=True)])
+            cols["items"] = pa.array([sorted({*i, *k}) for i, k in zip(more["items"], more["items2"], strict=True)], names)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return both.mapInArrow(merge, StructType(fields))
 
 
 def n_hit(hits: Column) -> Column:
