@@ -27,11 +27,11 @@ RULES = [
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m, g: F.length(g) >= 12, group=2),
     Rule("access", r"AKIA[A-Z0-9]{14,}", guard=lambda t: t.contains("AKIA")),
     Rule("hex", r"[0-9a-f]{16,}+"),
-    Rule("private_key", r"-----BEGIN\x20(?:[A-Z0-9]{1,12}\x20){0,3}PRIVATE\x20KEY-----", guard=lambda t: t.contains("PRIVATE KEY-----")),
+    Rule("private_key", r"-----BEGIN\x20(?:(?!PRIVATE\x20KEY-----)[A-Z0-9]++\x20)*+PRIVATE\x20KEY-----", guard=lambda t: t.contains("PRIVATE KEY-----")),
     Rule("forge_token", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+", guard=lambda t: t.contains("gh")),
     Rule("chat_token", r"(?<![A-Za-z0-9_])xox[abeoprs]-[A-Za-z0-9-]{10,}+", guard=lambda t: t.contains("xox")),
     Rule("jwt", r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", guard=lambda t: t.contains("eyJ")),
-    Rule("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,256}:[^\s/:@]{3,256}@", guard=lambda t: t.contains("://")),
+    Rule("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]{3,}+@", guard=lambda t: t.contains("://")),
 ]
 KINDS = [r.kind for r in RULES]
 BASE = 3
@@ -84,8 +84,7 @@ def redacted(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataF
     update(docs, ledger, path, text)
     hits = ledger_at(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("blob_"), F.col("spans").alias("spans_"))
     joined_ = docs.join(hits, blob_id(F.col(text)) == F.col("blob_"), "left")
-    clean = F.when(F.col("spans_").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("spans_"), lambda x: F.lit("[SECRET]")))
-    return joined_.withColumn(text, clean).drop("blob_", "spans_")
+    return redact(joined_, text, "spans_", lambda x: F.lit("[SECRET]")).drop("blob_", "spans_")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +105,11 @@ def _sql() -> str:
         ("()", r"""((?:(?i:password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+))""", True),
         ("()", r"(AKIA[A-Z0-9]{14,})", False),
         ("()", r"([0-9a-f]{16,})", False),
-        ("()", r"(-----BEGIN\x20(?:[A-Z0-9]{1,12}\x20){0,3}PRIVATE\x20KEY-----)", False),
+        ("()", r"(-----BEGIN\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY-----)", False),
         (word, r"(gh[pousr]_[A-Za-z0-9]{36,})", False),
         (word, r"(xox[abeoprs]-[A-Za-z0-9-]{10,})", False),
         (word, r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", False),
-        ("(^|[^a-z0-9+.-])", r"([a-z][a-z0-9+.-]{1,20}://[^ \t\n\x0B\f\r/:@]{1,256}:[^ \t\n\x0B\f\r/:@]{3,256}@)", False),
+        ("(^|[^a-z0-9+.-])", r"([a-z][a-z0-9+.-]{1,20}://[^ \t\n\x0B\f\r/:@]+:[^ \t\n\x0B\f\r/:@]{3,}@)", False),
     ]
     mark, quoted = "chr(57344)", lambda x: x.replace("'", "''")
     parts, spans = [], []
