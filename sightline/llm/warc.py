@@ -17,6 +17,7 @@ gives no archive and an empty result; columns besides page id, url and html are
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -78,38 +79,52 @@ def write(records: DataFrame, folder: str) -> DataFrame:
 
 
 class Source:
-    """Decompressed bytes of an archive of gzip members (or of plain bytes), a slice at a time."""
+    """Decompressed bytes of an archive of gzip members (or of plain bytes), at most a slice at a time however well they were compressed."""
 
     def __init__(self, stream):
-        self.stream, self.held, self.z, self.plain = stream, b"", None, None
+        self.stream, self.held, self.at, self.raw, self.z, self.plain = stream, bytearray(), 0, b"", None, None
 
     def more(self) -> bool:
-        raw = self.z.unused_data if self.z is not None and self.z.eof and self.z.unused_data else self.stream.read(SLICE)
-        if not raw:
-            if self.z is not None and not self.z.eof:
-                raise ValueError("the archive ends within a record")
-            return False
-        if self.plain is None:
-            self.plain = raw[:2] != b"\x1f\x8b"
-        if self.plain:
-            self.held += raw
-            return True
-        if self.z is None or self.z.eof:
-            self.z = zlib.decompressobj(31)
-        self.held += self.z.decompress(raw)
-        return True
+        """Some bytes more; False at the end."""
+        while True:
+            if self.z is not None and self.z.eof:
+                self.raw, self.z = self.z.unused_data, None
+            elif self.z is not None and self.z.unconsumed_tail:
+                self.raw = self.z.unconsumed_tail
+            self.raw = self.raw or self.stream.read(SLICE)
+            if not self.raw:
+                if self.z is not None and not self.z.eof:
+                    raise ValueError("the archive ends within a record")
+                return False
+            if self.plain is None:
+                self.plain = self.raw[:2] != b"\x1f\x8b"
+            if self.plain:
+                data, self.raw = self.raw, b""
+            else:
+                self.z = self.z or zlib.decompressobj(31)
+                data, self.raw = self.z.decompress(self.raw, SLICE), b""
+            if data:
+                if self.at > SLICE:
+                    del self.held[: self.at]
+                    self.at = 0
+                self.held += data
+                return True
 
     def line(self) -> bytes | None:
-        while (i := self.held.find(b"\n")) < 0:
+        seen = self.at
+        while (i := self.held.find(b"\n", seen)) < 0:
+            done = len(self.held) - self.at
             if not self.more():
                 return None
-        out, self.held = self.held[:i], self.held[i + 1 :]
+            seen = self.at + done
+        out, self.at = bytes(self.held[self.at : i]), i + 1
         return out.rstrip(b"\r")
 
     def read(self, n: int) -> bytes:
-        while len(self.held) < n and self.more():
+        while len(self.held) - self.at < n and self.more():
             pass
-        out, self.held = self.held[:n], self.held[n:]
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += len(out)
         return out
 
 
@@ -137,6 +152,9 @@ def chunks_of(stream, chunk_bytes: int = CHUNK, with_data: bool = True) -> Itera
             sofar += len(data)
             sha.update(data)
             kind = head.get("warc-type")
+            said = head.get("warc-payload-digest", "").removeprefix("sha1:")
+            if not left and kind == "response" and said and said not in (sha.hexdigest(), base64.b32encode(sha.digest()).decode()):
+                raise ValueError(f"record {head.get('warc-record-id')} has another payload than its header's digest says")
             # A revisit has no payload of its own: length and digest of the full payload are in its header.
             full = (int(head.get("x-payload-length", 0)), head.get("warc-payload-digest", "").removeprefix("sha1:")) if kind == "revisit" else (sofar, sha.hexdigest())
             yield (head.get("warc-record-id"), head.get("x-page-id"), head.get("warc-target-uri"), kind, head.get("x-refers-to-page-id"), no, data if with_data else None, sofar, sha.hexdigest(), not left, *(full if not left else (None, None)))
@@ -176,6 +194,7 @@ def chunk_table(manifest: DataFrame, chunk_bytes: int = CHUNK, with_data: bool =
 def archive(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """Writes the pages' archives and returns their manifest."""
     r = roles(pages, least)
+    # Skew: payloads move by page id and digest, so copies of one payload are spread; the digest's own join in `roles` carries no payloads.
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").alias("id_"), "url", "html", F.sha1(payload).alias("digest_"))
     records = p.join(r, p["id_"].eqNullSafe(r["page_id"]) & (p["digest_"] == r["digest"]))
@@ -184,7 +203,7 @@ def archive(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = archive(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
-    rows = chunk_table(manifest, with_data=False).where("is_last")
+    rows = chunk_table(manifest).where("is_last")
     return rows.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
