@@ -1,14 +1,15 @@
 """Toxicity: maximum-scoring segment search.
 
 Training: features of words (the word, and its prefixes of 4 to 6 letters for inflected forms) are counted by document over labelled rows;
-log-odds with a Dirichlet prior proportional to each feature's overall rate weigh the features that speak for toxicity significantly. Copies of a text are
-learned from once. A word scores its log-odds, any other word a small penalty. Ruzzo and Tompa's linear-time scan then finds every maximal segment
-of a text, and extreme-value statistics (lambda and K fitted on labelled clean rows that were not counted) turn a segment's score into the
+log-odds with a Dirichlet prior proportional to each feature's overall rate weigh the features that speak significantly for toxicity or against it.
+Copies of a text are learned from once. Every word scores its log-odds (0 if nothing significant is known of it) less a constant, so that the mean is
+below 0. Ruzzo and Tompa's linear-time scan then finds every maximal segment of a text, and extreme-value statistics (lambda from the scores of all
+words of labelled clean rows that were not counted, K from their best segments) turn a segment's score into the
 number of such segments that a clean text of the same length would show by chance. A logistic curve over that figure, fitted
 on the same rows kept apart, gives the probability.
 
 Bounds: at most about `max_train` labelled rows are learned from (all of them below that, else those with the lowest hash of the id); features
-with under `min_docs` toxic documents are left out, which bounds the model by the sample. Scoring covers every row and whole texts.
+with under `min_docs` documents, and those that say nothing significant, are left out in the tasks, which bounds the model by the sample. Scoring covers every row and whole texts.
 
 Defined results: null and empty texts get the probability of a text without passages; a null id is scored but never learned from; contradicting labels
 of one id count each; without toxic or without clean rows to learn from every score is 0; other columns are not read.
@@ -42,11 +43,14 @@ def features(words: set[str]) -> set[str]:
 
 
 def segments(scores: list[tuple[int, float]], penalty: float) -> list[tuple[int, int, float]]:
-    """Ruzzo-Tompa: all maximal scoring segments (first, last, score) of a sequence with these (position, positive score) and -penalty elsewhere."""
+    """Ruzzo-Tompa: all maximal scoring segments (first, last, score) of a sequence with these (position, score) and -penalty elsewhere."""
     found: list[list] = []  # [first, last, left total, right total]
     total, last = 0.0, -1
     for pos, x in scores:
         total -= penalty * (pos - last - 1)
+        if x <= 0:
+            total, last = total + x, pos
+            continue
         seg = [pos, pos, total, total + x]
         total, last = total + x, pos
         while True:
@@ -84,11 +88,15 @@ class Model:
             x = self.memo[w] = x or 0.0
         return x
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+    def marks(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
+        """The number of words, and (place, score) of those with a weight; all others score -penalty."""
         words = WORD.findall((text or "").lower())
-        memo, word = self.memo, self.word
-        marks = [(i, x) for i, w in enumerate(words) if (x := memo.get(w) if w in memo else word(w))]
-        return len(words), segments(marks, self.penalty) if marks else []
+        memo, word, cost = self.memo, self.word, self.penalty
+        return len(words), [(i, x - cost) for i, w in enumerate(words) if (x := memo.get(w) if w in memo else word(w))]
+
+    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        n, marks = self.marks(text)
+        return n, segments(marks, self.penalty) if marks else []
 
     def surprise(self, n: int, best: float) -> float:
         """-ln of the expected number of chance segments at least that good in n clean words; 0 at least."""
@@ -107,17 +115,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.a + self.b * self.evidence(text)))))
 
 
-def weigh(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, prior: float = PRIOR, min_z: float = MIN_Z) -> dict[str, float]:
-    """Log-odds with a prior of `prior` documents spread as the feature is overall; kept if the signed root of the likelihood ratio
-    against that overall rate is over min_z, which holds for small counts too."""
-    out, rate = {}, n_toxic / (n_toxic + n_clean)
-    for f, a, c in counts:
-        ratio = a * math.log(a / ((a + c) * rate)) + (c * math.log(c / ((a + c) * (1 - rate))) if c else 0.0)
-        p = prior * (a + c) / (n_toxic + n_clean)
-        x = math.log((a + p) / (n_toxic + prior - a - p)) - math.log((c + p) / (n_clean + prior - c - p))
-        if a > (a + c) * rate and 2 * ratio > min_z**2 and x > 1:
-            out[f] = x
-    return out
+def weigh(counts: DataFrame, n_toxic: int, n_clean: int, prior: float = PRIOR, min_z: float = MIN_Z, min_docs: int = MIN_DOCS) -> DataFrame:
+    """f, x from counts (f, a toxic and c clean documents): log-odds with a prior of `prior` documents spread as the feature is overall; kept if the signed
+    root of the likelihood ratio against that overall rate is over min_z either way, which holds for small counts too."""
+    a, c, rate = F.col("a"), F.col("c"), n_toxic / (n_toxic + n_clean)
+    part = lambda n, share: F.when(n > 0, n * F.ln(F.when(n > 0, n / ((a + c) * share)).otherwise(F.lit(1.0)))).otherwise(F.lit(0.0))
+    p = prior * (a + c) / (n_toxic + n_clean)
+    x = F.ln((a + p) / (n_toxic + prior - a - p)) - F.ln((c + p) / (n_clean + prior - c - p))
+    return counts.where((a + c >= min_docs) & ((a >= min_docs) | (a < (a + c) * rate)) & (2 * (part(a, rate) + part(c, 1 - rate)) > min_z**2)).select("f", x.alias("x"))
 
 
 def root(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -173,33 +178,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_docs
             yield flush()
 
     counts = rows.where(~F.col("apart")).select("text", "toxic").mapInArrow(count, "f string, a long, c long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
-    got = counts.where((F.col("a") >= min_docs) & ((F.col("a") * 4 > F.col("c")) | (F.col("f") == ""))).collect()
-    sizes = next(((r.a, r.c) for r in got if r.f == ""), (0, 0))
-    model = Model(weigh([(r.f, r.a, r.c) for r in got if r.f], *sizes) if all(sizes) else {})
+    counts = materialize(counts, "features")
+    sizes = next(((r.a, r.c) for r in counts.where("f = ''").collect()), (0, 0))
+    model = Model({r.f: r.x for r in weigh(counts.where("f <> ''"), *sizes, min_docs=min_docs).collect()} if all(sizes) else {})
     held = spark.sparkContext.broadcast(model)
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each row kept apart: label, words, and the score of each segment."""
+        """For each row kept apart: label, words, and the score of each segment; and, with label -1, how many words of clean rows have a score."""
         m = held.value
         for b in batches:
-            out = []
+            out, words = [], Counter()
             for t, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
-                n_, found = m.passages(t.as_py())
-                out.append((int(y > 0), n_, [x for _, _, x in found]))
+                n_, marks = m.marks(t.as_py())
+                out.append((int(y > 0), n_, [x for _, _, x in segments(marks, m.penalty)]))
+                if not y > 0:
+                    words.update(round(x, 2) for _, x in marks)
+                    words[-m.penalty] += n_ - len(marks)
+            out += [(-1, k, [x]) for x, k in words.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["y", "n", "s"])
 
     tried = rows.where("apart").select("text", "toxic").mapInArrow(apart, "y int, n long, s array<double>").collect()
+    words, tried = [(r.s[0], r.n) for r in tried if r.y < 0], [r for r in tried if r.y >= 0]
     y = np.array([r.y for r in tried], float)
     if not all(sizes) or not y.sum() or y.sum() == len(y):
         if model.weights:  # too few rows to calibrate on: a text needs a passage clearly beyond chance
             model.a, model.b = -4.0, 2.0
         return model
     clean = [(r.n, r.s) for r in tried if not r.y]
-    marks = np.array([x for _, s in clean for x in s])
-    words = max(1.0, float(sum(k for k, _ in clean)))
-    scores, times = np.unique(np.append(marks.round(2), 2.0), return_counts=True)  # one more, so that there is one
-    shares = np.append(times, max(1.0, words - times.sum())) / (words + 1)
-    model.lam = min(2.0, max(0.05, root(np.append(scores, -model.penalty), shares / shares.sum())))
+    shares: Counter = Counter({2.0: 1, -model.penalty: 1})  # one word more that speaks for toxicity, so that there is one, and one that does not
+    for x, k in words:
+        shares[x] += k
+    total = sum(shares.values())
+    model.lam = min(2.0, max(0.05, root(np.array(list(shares)), np.array(list(shares.values()), float) / total)))
     best = np.array([max(s, default=0.0) for _, s in clean])
     model.k = float(max(1, (best > 0).sum()) / max(1e-9, (np.array([k for k, _ in clean], float) * np.exp(-model.lam * best)).sum()))
     x = np.array([model.combined(r.n, r.s) for r in tried])
