@@ -130,6 +130,23 @@ class Net:
             parent[front] = i[head]
         return cost, parent
 
+    def least_parents(self, cost: np.ndarray, arcs: np.ndarray, price: Callable) -> np.ndarray:
+        """For each of `arcs` the least arc before it that gives it its cost; -1 for others."""
+        parent = np.full(len(self.src), -1)
+        for k in range(0, len(arcs), 4096):
+            part = arcs[k : k + 4096]
+            on, who = self.spans(self.into, self.src[part])
+            i, j = self.back[on], part[who]
+            some = (self.src[i] != self.dst[j]) & np.isfinite(cost[i])
+            i, j = i[some], j[some]
+            same = cost[i] + price(i, j) == cost[j]
+            i, j = i[same], j[same]
+            order = np.lexsort((i, j))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.append(True, j[1:] != j[:-1])) if len(j) else np.zeros(0, int)
+            parent[j[first]] = i[first]
+        return parent
+
     def turn(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Deviation from straight on between arc i and arc j, by the angle back."""
         a, b, c = self.src[i], self.dst[i], self.dst[j]

@@ -152,15 +152,22 @@ def _angle(ax, ay, bx, by):
 UNITS = f"({_angle('g.x - e.sx', 'g.y - e.sy', 'e.dx - e.sx', 'e.dy - e.sy')} * (180.0 / pi()) / 90.0)"
 
 
-def _route_sql(cost: str, extra: str = "", rule: str = "TRUE", scale: str = "1") -> str:
-    return f"""{FULL}{extra}od AS (SELECT min(id) AS o, max(id) AS d FROM centres),
-w AS MATERIALIZED (SELECT e.src, e.dst, {cost} AS w FROM edges e, od JOIN centres g ON g.id = od.d WHERE {rule}),
-st(id, c, p) USING KEY (id) AS (SELECT o, 0.0::DOUBLE, CAST(o AS VARCHAR) FROM od UNION SELECT w.dst, min(s.c + w.w), arg_min(s.p || '-' || w.dst, s.c + w.w) FROM st s JOIN w ON w.src = s.id LEFT JOIN recurring.st x ON x.id = w.dst WHERE x.c IS NULL OR s.c + w.w < x.c GROUP BY w.dst)
-SELECT o AS origin, d AS dest, p AS path, round(c * {scale}, 4) AS total FROM od JOIN st ON st.id = od.d"""
+def _route_sql(cost: str, extra: str = "", rule: str = "TRUE", gammas: str = "[1.0]", gamma: str = "") -> str:
+    """gamma: the column that names the exponent, if the result has it."""
+    hops = "" if "lv AS" in extra else f"{HOPS}, lv AS MATERIALIZED (SELECT * FROM hops), "
+    return f"""{FULL}{extra}{hops}od AS (SELECT min(id) AS o, max(id) AS d FROM centres), gm AS (SELECT unnest({gammas})::DOUBLE AS gamma),
+w AS MATERIALIZED (SELECT gamma, e.src, e.dst, {cost} AS w FROM edges e, gm, od JOIN centres g ON g.id = od.d WHERE {rule}),
+st(gamma, id, c, p) USING KEY (gamma, id) AS (SELECT gamma, o, 0.0::DOUBLE, CAST(o AS VARCHAR) FROM od, gm UNION SELECT w.gamma, w.dst, min(s.c + w.w), arg_min(s.p || '-' || w.dst, s.c + w.w) FROM st s JOIN w ON w.src = s.id AND w.gamma = s.gamma LEFT JOIN recurring.st x ON x.id = w.dst AND x.gamma = w.gamma WHERE x.c IS NULL OR s.c + w.w < x.c GROUP BY w.gamma, w.dst),
+rt AS (SELECT st.gamma, o, d, p, c, string_split(p, '-') AS l FROM od JOIN st ON st.id = od.d),
+sp AS (SELECT gamma, l, unnest(range(1, len(l) + 1)) AS i FROM rt),
+co AS (SELECT sp.gamma, string_agg(printf('%.4f', w.w), ',' ORDER BY i) AS edge_costs FROM sp JOIN w ON w.gamma = sp.gamma AND w.src = CAST(l[i] AS BIGINT) AND w.dst = CAST(l[i + 1] AS BIGINT) GROUP BY sp.gamma),
+dp AS (SELECT gamma, string_agg(CAST(lv.d AS VARCHAR), ',' ORDER BY i) AS topo_depths FROM sp, od JOIN lv ON lv.a = od.d AND lv.id = CAST(l[i] AS BIGINT) GROUP BY gamma)
+SELECT {gamma}o AS origin, d AS dest, p AS path, coalesce(edge_costs, '') AS edge_costs, topo_depths, round(c, 4) AS total FROM rt LEFT JOIN co USING (gamma) LEFT JOIN dp USING (gamma)"""
 
 
-def _route_row(df: DataFrame) -> DataFrame:
-    return df.select("origin", "dest", F.array_join("path", "-").alias("path"), F.round("total", 4).alias("total"))
+def _route_row(df: DataFrame, *more: str) -> DataFrame:
+    costs = F.array_join(F.transform("edge_costs", lambda x: F.format_string("%.4f", x)), ",")
+    return df.select(*more, "origin", "dest", F.array_join("path", "-").alias("path"), costs.alias("edge_costs"), F.array_join("topo_depths", ",").alias("topo_depths"), F.round("total", 4).alias("total"))
 
 
 @query(_route_sql("e.dist"))
@@ -183,12 +190,30 @@ def nose_route(spark, sf_dir):
 
 @query(f"""{FULL}{HOPS}, lv AS MATERIALIZED (SELECT * FROM hops), od AS (SELECT min(id) AS o, max(id) AS d FROM centres),
 wk(id, p, k) AS (SELECT o, CAST(o AS VARCHAR), 0 FROM od UNION ALL SELECT n.dst, wk.p || '-' || n.dst, wk.k + 1 FROM wk, od, LATERAL (SELECT min(e.dst) AS dst FROM edges e JOIN lv a ON a.a = od.d AND a.id = e.dst JOIN lv b ON b.a = od.d AND b.id = e.src WHERE e.src = wk.id AND a.d = b.d - 1) n WHERE n.dst IS NOT NULL)
-SELECT o AS origin, od.d AS dest, p AS path, CAST(k AS DOUBLE) AS total FROM od JOIN wk ON wk.id = od.d""")
+SELECT o AS origin, od.d AS dest, p AS path, array_to_string(['1.0000' for x in range(k)], ',') AS edge_costs, array_to_string(range(k, -1, -1), ',') AS topo_depths, CAST(k AS DOUBLE) AS total FROM od JOIN wk ON wk.id = od.d""")
 def topo_route(spark, sf_dir):
     c, _, e = _world(spark, sf_dir)
     return _route_row(routes.topo_route(_pair(c), c, e))
 
 
+#: A grid of the nations' keys, numbered out of order, so that most routes have ties.
+GRID = "grid AS (SELECT CAST((n_nationkey * 7) % 25 AS BIGINT) AS id, CAST(n_nationkey % 5 AS DOUBLE) AS x, CAST(n_nationkey // 5 AS DOUBLE) AS y FROM nation), ge AS (SELECT a.id AS src, b.id AS dst FROM grid a JOIN grid b ON abs(a.x - b.x) + abs(a.y - b.y) = 1)"
+
+
+@query(f"""WITH RECURSIVE {GRID}, gh AS (SELECT a.id AS a, b.id AS id, CAST(abs(a.x - b.x) + abs(a.y - b.y) AS INT) AS d FROM grid a, grid b),
+gw(o, t, id, p) AS (SELECT a.id, b.id, a.id, CAST(a.id AS VARCHAR) FROM grid a, grid b UNION ALL SELECT w.o, w.t, n.dst, w.p || '-' || n.dst FROM gw w, LATERAL (SELECT min(e.dst) AS dst FROM ge e JOIN gh x ON x.a = w.t AND x.id = e.dst JOIN gh y ON y.a = w.t AND y.id = w.id WHERE e.src = w.id AND x.d = y.d - 1) n WHERE n.dst IS NOT NULL)
+SELECT o AS origin, t AS dest, p AS path FROM gw WHERE id = t""")
+def topo_route_grid(spark, sf_dir):
+    k = F.col("n_nationkey").cast("long")
+    c = written(fixture.table(spark, sf_dir, "nation").select((k * 7 % 25).alias("id"), (k % 5).cast("double").alias("x"), F.floor(k / 5).cast("double").alias("y")))
+    a, b = (c.select(F.col("id").alias(n), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y")) for n, p in (("src", "s"), ("dst", "d")))
+    # Neighbours on the grid, by their places.
+    near = a.withColumn("step", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1.0, 0.0), (-1.0, 0.0), (0.0, 1.0), (0.0, -1.0))))))
+    e = near.join(b, (F.col("sx") + F.col("step.i") == F.col("dx")) & (F.col("sy") + F.col("step.j") == F.col("dy"))).select("src", "dst", "sx", "sy", "dx", "dy", F.lit(1.0).alias("dist"))
+    pairs = c.select(F.col("id").alias("origin")).join(F.broadcast(c.select(F.col("id").alias("dest"))), F.lit(True))
+    return routes.topo_route(pairs, c, written(e)).select("origin", "dest", F.array_join("path", "-").alias("path"))
+
+
 WAYS = f"ways AS MATERIALIZED (SELECT e.src AS a, e.dst AS b, f.dst AS c, CASE WHEN sqrt((f.dx-f.sx)*(f.dx-f.sx)+(f.dy-f.sy)*(f.dy-f.sy)) < 1e-12 OR e.dist < 1e-12 THEN 0.0 ELSE pi() - {_angle('f.dx - f.sx', 'f.dy - f.sy', 'e.sx - f.sx', 'e.sy - f.sy')} END AS turn, {_angle('e.dx - e.sx', 'e.dy - e.sy', 'f.dx - f.sx', 'f.dy - f.sy')} AS heading, f.sx, f.sy, f.dx, f.dy FROM edges e JOIN edges f ON f.src = e.dst AND f.dst <> e.src), "
 ARCS = f"{WAYS}ar(a, cur, prev, c) USING KEY (a, cur, prev) AS (SELECT src, dst, src, 0.0::DOUBLE FROM edges UNION SELECT s.a, w.c, w.b, min(s.c + w.turn) FROM ar s JOIN ways w ON w.a = s.prev AND w.b = s.cur LEFT JOIN recurring.ar x ON x.a = s.a AND x.cur = w.c AND x.prev = w.b WHERE x.c IS NULL OR s.c + w.turn < x.c GROUP BY s.a, w.c, w.b)"
 
@@ -196,13 +221,21 @@ ARCS = f"{WAYS}ar(a, cur, prev, c) USING KEY (a, cur, prev) AS (SELECT src, dst,
 @query(f"{FULL}{ARCS} SELECT c.id, round(coalesce(sum(v), 0) * (180.0 / pi()), 4) AS angular_integration FROM centres c LEFT JOIN (SELECT a, cur, min(c) AS v FROM ar WHERE cur <> a GROUP BY a, cur) ON a = c.id GROUP BY c.id")
 def angular_integration(spark, sf_dir):
     c, _, e = _world(spark, sf_dir)
-    return centrality.angular_integration(centrality.arc_costs(e, written(centrality.turns(e))), c).select("id", *r4("angular_integration"))
+    return centrality.angular_integration(centrality.arc_costs(e), c).select("id", *r4("angular_integration"))
+
 
+OD = "od AS (SELECT min(id) AS o, max(id) AS d FROM centres)"
 
-@query(f"{FULL}{ARCS}, od AS (SELECT min(id) AS o, max(id) AS d FROM centres) SELECT o AS origin, d AS dest, round(min(c), 4) AS total FROM od JOIN ar ON ar.a = o AND ar.cur = d GROUP BY o, d")
+
+def _over_sql(first: str, step: str, name: str) -> str:
+    return f"""{FULL}{WAYS}{OD}, {name}(cur, prev, c, p) USING KEY (cur, prev) AS (SELECT e.dst, e.src, {first}, e.src || '-' || e.dst FROM edges e, od JOIN centres g ON g.id = od.d WHERE e.src = o
+ UNION SELECT w.c, w.b, min(s.c + {step}), arg_min(s.p || '-' || w.c, s.c + {step}) FROM {name} s, od JOIN centres g ON g.id = od.d JOIN ways w ON w.a = s.prev AND w.b = s.cur LEFT JOIN recurring.{name} x ON x.cur = w.c AND x.prev = w.b WHERE s.cur <> od.d AND (x.c IS NULL OR s.c + {step} < x.c) GROUP BY w.c, w.b)"""
+
+
+@query(f"{_over_sql('0.0::DOUBLE', 'w.turn', 'ag')} SELECT o AS origin, d AS dest, arg_min(p, (c, prev)) AS path, round(min(c), 4) AS total FROM od JOIN ag ON ag.cur = d GROUP BY o, d")
 def angular_route(spark, sf_dir):
     c, _, e = _world(spark, sf_dir)
-    return routes.angular_route(_pair(c), c, e).select("origin", "dest", *r4("total"))
+    return _route_row(routes.angular_route(_pair(c), c, e)).drop("edge_costs", "topo_depths")
 
 
 GOAL_W = _angle("w.dx - w.sx", "w.dy - w.sy", "g.x - w.sx", "g.y - w.sy")
@@ -216,16 +249,27 @@ def prospect_status(spark, sf_dir):
     return centrality.prospect_status(e, c).select("id", *r4("prospect_status"))
 
 
-@query(f"{FULL}{PROSPECT}, od AS (SELECT min(id) AS o, max(id) AS d FROM centres) SELECT o AS origin, d AS dest, round(c, 4) AS total FROM od JOIN po ON goal = d AND u = o")
+@query(f"{_over_sql(GOAL_E, f'({GOAL_W} + w.heading)', 'pf')} SELECT o AS origin, d AS dest, arg_min(p, (c, prev)) AS path, round(min(c) * (180.0 / pi()), 4) AS total FROM od JOIN pf ON pf.cur = d GROUP BY o, d")
 def prospect_route(spark, sf_dir):
     c, _, e = _world(spark, sf_dir)
-    return routes.prospect_route(_pair(c), c, e).select("origin", "dest", *r4("total"))
+    return _route_row(routes.prospect_route(_pair(c), c, e)).drop("edge_costs", "topo_depths")
 
 
-@query()
+#: Paths are followed back along the parents that made an arc's cost; each node between the ends gives 1 to its neighbours.
+BETWEEN = """wq AS MATERIALIZED (SELECT a, b, c, round(turn * 1e9) AS turn FROM ways),
+aq(a, cur, prev, c) USING KEY (a, cur, prev) AS (SELECT src, dst, src, 0.0::DOUBLE FROM edges UNION SELECT s.a, w.c, w.b, min(s.c + w.turn) FROM aq s JOIN wq w ON w.a = s.prev AND w.b = s.cur LEFT JOIN recurring.aq x ON x.a = s.a AND x.cur = w.c AND x.prev = w.b WHERE x.c IS NULL OR s.c + w.turn < x.c GROUP BY s.a, w.c, w.b),
+aa AS MATERIALIZED (SELECT * FROM aq),
+pa AS MATERIALIZED (SELECT q.a, q.cur, q.prev, min(w.a) AS parent FROM aa q JOIN wq w ON w.b = q.prev AND w.c = q.cur JOIN aa x ON x.a = q.a AND x.cur = w.b AND x.prev = w.a WHERE q.prev <> q.a AND x.c + w.turn = q.c GROUP BY q.a, q.cur, q.prev),
+be AS (SELECT a, cur, arg_min(prev, (c, prev)) AS prev FROM aa WHERE cur <> a GROUP BY a, cur),
+wb(a, e, cur, prev) AS (SELECT a, cur, cur, prev FROM be UNION ALL SELECT wb.a, wb.e, wb.prev, pa.parent FROM wb JOIN pa ON pa.a = wb.a AND pa.cur = wb.cur AND pa.prev = wb.prev),
+md AS (SELECT cur, CAST(count(*) AS DOUBLE) AS n FROM wb WHERE cur <> e GROUP BY cur),
+ac AS (SELECT c.id, coalesce(sum(n), 0.0) AS a_choice FROM centres c LEFT JOIN edges e ON e.src = c.id LEFT JOIN md ON md.cur = e.dst GROUP BY c.id)"""
+
+
+@query(f"{FULL}{WAYS}{BETWEEN} SELECT id, a_choice FROM ac")
 def a_choice(spark, sf_dir):
     c, _, e = _world(spark, sf_dir)
-    return centrality.a_choice(centrality.arc_costs(e, written(centrality.turns(e))), e, c)
+    return centrality.a_choice(centrality.arc_costs(e, whole=centrality.WHOLE), e, c)
 
 
 def _polar_sql(gammas: str) -> str:
@@ -251,6 +295,12 @@ def polar_gamma_sweep(spark, sf_dir):
     return centrality.polar_status(e, c, GAMMAS).select("gamma", "id", *r4("polar_status_angle", "polar_status_product"))
 
 
+@query(_route_sql(f"pow({UNITS}, gamma) * e.dist", gammas=str(GAMMAS), gamma="gamma, "))
+def polar_route_sweep(spark, sf_dir):
+    c, _, e = _world(spark, sf_dir)
+    return _route_row(routes.polar_sweep(_pair(c), c, e, GAMMAS), "gamma")
+
+
 GATES = f"gate0 AS (SELECT CAST(c_custkey AS BIGINT) AS gate_idx, c_name AS label, c_acctbal AS count, 0.25::DOUBLE + CAST(c_custkey AS BIGINT) * {fixture.STEP_X}::DOUBLE AS zx, 0.75::DOUBLE + CAST(c_custkey AS BIGINT) * {fixture.STEP_Y}::DOUBLE AS zy FROM customer), gates AS (SELECT gate_idx, label, count, 100.0::DOUBLE * (zx - floor(zx)) AS x, 100.0::DOUBLE * (zy - floor(zy)) AS y FROM gate0), near AS (SELECT gate_idx, c.id, sqrt((c.x - g.x) * (c.x - g.x) + (c.y - g.y) * (c.y - g.y)) AS d FROM gates g, centres c), mt AS (SELECT gate_idx, arg_min(id, (d, -id)) AS isovist_id FROM near WHERE d <= 5.0 GROUP BY gate_idx)"
 
 
@@ -351,7 +401,82 @@ def heal_bridges(spark, sf_dir):
     return healed
 
 
-@query()
-def metrics_table(spark, sf_dir):
+MEASURES = metrics.COLUMNS[3:]
+_POLAR = _polar_sql("[1.0]").removeprefix(FULL).rpartition("\nSELECT")[0]
+TABLE = f"""{FULL}{PATHS}, {ARCS}, {BETWEEN}, {PROSPECT.removeprefix(WAYS)}, {_POLAR},
+mi AS (SELECT id, abs(sum(ax * by_ - bx * ay)) / 2 AS area, sum(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))) AS perimeter FROM isoe GROUP BY id),
+mg AS (SELECT src AS id, count(*) AS degree FROM edges GROUP BY src),
+mc AS (SELECT c.id, coalesce(sum(choice - coalesce(delta, 0)), 0) AS d_choice FROM centres c LEFT JOIN edges e ON e.src = c.id LEFT JOIN ch ON ch.id = e.dst LEFT JOIN dl ON dl.a = c.id AND dl.id = e.dst GROUP BY c.id),
+mp AS (SELECT goal AS id, sum(ang) AS polar_status_angle, sum(c) AS polar_status_product FROM pl GROUP BY goal),
+mt_ AS (SELECT a AS id, CAST(sum(d) AS DOUBLE) AS topo_status FROM lv GROUP BY a),
+mr AS (SELECT c.id, coalesce(sum(c), 0) AS prospect_status FROM centres c LEFT JOIN po ON goal = c.id GROUP BY c.id),
+ma AS (SELECT c.id, coalesce(sum(v), 0) * (180.0 / pi()) AS angular_integration FROM centres c LEFT JOIN (SELECT a, cur, min(c) AS v FROM ar WHERE cur <> a GROUP BY a, cur) ON a = c.id GROUP BY c.id),
+me AS MATERIALIZED (SELECT c.id, c.x, c.y, area, perimeter, coalesce(degree, 0) AS degree, choice, d_choice, a_choice, polar_status_angle, polar_status_product, topo_status, prospect_status, angular_integration FROM centres c LEFT JOIN mi USING (id) LEFT JOIN mg USING (id) LEFT JOIN ch USING (id) LEFT JOIN mc USING (id) LEFT JOIN ac USING (id) LEFT JOIN mp USING (id) LEFT JOIN mt_ USING (id) LEFT JOIN mr USING (id) LEFT JOIN ma USING (id))"""
+_R4 = ", ".join(f"round({c}, 4) AS {c}" if c != "degree" else c for c in ["x", "y", *MEASURES])
+
+
+def _metrics(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c, v, e = _world(spark, sf_dir)
-    return metrics.metrics(c, v, e)
+    return c, written(metrics.metrics(c, v, e))
+
+
+@query(f"{TABLE} SELECT id, {_R4} FROM me")
+def metrics_table(spark, sf_dir):
+    m = _metrics(spark, sf_dir)[1]
+    return m.select("id", *(F.col(c) if c == "degree" else F.round(c, 4).alias(c) for c in ["x", "y", *MEASURES]))
+
+
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS measure, id, CAST({c} AS DOUBLE) AS v FROM me" for c in MEASURES)
+_HEAT = HEAT.replace("id, v", "measure, id, v").replace("SELECT id, round", "SELECT measure, id, round")
+
+
+@query(f"{TABLE}, t AS (SELECT measure, id, v, CASE WHEN max(v) OVER p > min(v) OVER p THEN (v - min(v) OVER p) / (max(v) OVER p - min(v) OVER p) ELSE 0.0 END AS t FROM ({_LONG}) WINDOW p AS (PARTITION BY measure)), {_HEAT.format(t='t')}")
+def heatmap_measures(spark, sf_dir):
+    """All eleven heatmaps."""
+    from functools import reduce
+
+    m = _metrics(spark, sf_dir)[1]
+    return reduce(DataFrame.unionByName, (heatmap.heatmap(m, c).select(F.lit(c).alias("measure"), "id", *r4("value"), "color") for c in MEASURES))
+
+
+_GATE_COLS = ", ".join(f"round(me.{c}, 4) AS {c}" if c != "degree" else f"me.{c}" for c in MEASURES)
+
+
+@query(f"{TABLE}, {GATES.replace('<= 5.0', '<= 50.0')} SELECT gate_idx, label, round(gates.x, 4) AS x, round(gates.y, 4) AS y, count, round(CASE WHEN count > 0 THEN ln(CASE WHEN count > 0 THEN count ELSE 1 END) END, 4) AS log_count, round(me.x, 4) AS isovist_x, round(me.y, 4) AS isovist_y, isovist_id, {_GATE_COLS} FROM gates LEFT JOIN mt USING (gate_idx) LEFT JOIN me ON me.id = isovist_id")
+def gate_report_full(spark, sf_dir):
+    """All columns of the gate table, at the default radius."""
+    c, m = _metrics(spark, sf_dir)
+    out = gates.report(gates.match(fixture.gates(spark, sf_dir), c), c, m)
+    return out.select("gate_idx", "label", *r4("x", "y"), "count", *r4("log_count", "isovist_x", "isovist_y"), "isovist_id", *(F.col(x) if x == "degree" else F.round(x, 4).alias(x) for x in MEASURES))
+
+
+def _bezier_sql(pts: list[tuple[str, str]]) -> str:
+    """Eight samples of a cubic curve by its four points."""
+    w = ["(1-t)*(1-t)*(1-t)", "3*(1-t)*(1-t)*t", "3*(1-t)*t*t", "t*t*t"]
+    return ", ".join(" + ".join(f"{k}*({p[i]})" for k, p in zip(w, pts, strict=True)) + f" AS {n}" for i, n in enumerate("xy"))
+
+
+def _curves_sql() -> str:
+    # u: whole numbers, so that all operands are exact decimals.
+    u = "u AS (SELECT k, CAST(10 + 20 * (k % 5) AS DOUBLE) AS a, CAST(10 + 20 * (k // 5) AS DOUBLE) AS b, CAST(30 + 20 * (k % 5) AS DOUBLE) AS c, CAST(16 + 20 * (k // 5) AS DOUBLE) AS e FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation))"
+    cubic = [("a", "b"), ("a", "e"), ("c", "e"), ("c", "b")]
+    smooth = [("c", "b"), ("c", "b"), ("c+1.5", "b+2.5"), ("c+4", "b+0.5")]
+    px, py = "c+4", "b+0.5"
+    quad = [(px, py), (f"{px}+2.0/3.0*2", f"{py}+2.0/3.0*(-3)"), (f"{px}+4+2.0/3.0*(2-4)", f"{py}+1+2.0/3.0*(-3-1)"), (f"{px}+4", f"{py}+1")]
+    lines = [("c+9", "b+2.5"), ("c+11.5", "b+2.5"), ("c+11.5", "b+1.25"), ("a", "b+1.25"), ("a+1.5", "b-0.75")]
+    parts = ["SELECT k, 0 AS n, a AS x, b AS y FROM u"]
+    for j, pts in enumerate((cubic, smooth, quad)):
+        parts.append(f"SELECT k, {1 + 8 * j} + i - 1, {_bezier_sql(pts)} FROM (SELECT *, i / 8.0 AS t FROM u, range(1, 9) r(i))")
+    parts += [f"SELECT k, {25 + j}, {x}, {y} FROM u" for j, (x, y) in enumerate(lines)]
+    return f"WITH {u}, q AS ({' UNION ALL '.join(parts)}) SELECT k AS pid, CAST(n AS INT) AS vi, round(x, 3) AS x, round(y, 3) AS y FROM q"
+
+
+@query(_curves_sql())
+def parse_curves(spark, sf_dir):
+    """A cubic, a smooth cubic (its first control point is the pen), a quadratic, a smooth quadratic and an arc as chords, steps along the axes."""
+    k = F.col("n_nationkey").cast("long")
+    n = lambda c: c.cast("int").cast("string")
+    a, b, c, e = n(10 + 20 * (k % 5)), n(10 + 20 * F.floor(k / 5)), n(30 + 20 * (k % 5)), n(16 + 20 * F.floor(k / 5))
+    text = F.concat(F.lit("M"), a, F.lit(" "), b, F.lit("C"), a, F.lit(" "), e, F.lit(","), c, F.lit(" "), e, F.lit(","), c, F.lit(" "), b, F.lit(" s1.5 2.5 4 .5 q 2-3 4,1 t1,1 h2.5 v-1.25 H"), a, F.lit(" a3 3 0 0 1 1.5-2z"))
+    d = fixture.table(spark, sf_dir, "nation").select(k.alias("pid"), F.posexplode(svgpath.parse_path(text)).alias("vi", "p"))
+    return d.select("pid", "vi", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))

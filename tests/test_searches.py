@@ -36,6 +36,7 @@ def test_measures(spark, some):
     for f in (graph.depths, graph.components, lambda e, c, **o: centrality.polar_status(e, c, [1.0, 2.5], **o), centrality.prospect_status):
         assert rows(f(e, c)) == rows(f(e, c, arcs=0))
     assert rows(centrality.arc_costs(e)) == rows(centrality.arc_costs(e, arcs=0))
+    assert rows(centrality.arc_costs(e, whole=centrality.WHOLE)) == rows(centrality.arc_costs(e, arcs=0, whole=centrality.WHOLE))
     assert rows(centrality.dependencies(e, graph.depths(e, c))) == rows(centrality.dependencies(e, graph.depths(e, c, arcs=0), arcs=0))
 
 
