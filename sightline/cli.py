@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +62,17 @@ def run(spark: SparkSession, argv: list[str]) -> dict[str, str]:
     segments = isovist.ring_edges(rings)
     centres = plans.read_network(spark, a.NETWORK_RESTORE) if a.NETWORK_RESTORE else place.best_candidates(spark, segments, a.n, a.candidates, a.seed)
     centres = written(centres)
+    if a.NETWORK_RESTORE:
+        warn(plans.skipped_lines(spark, a.NETWORK_RESTORE, 2), a.NETWORK_RESTORE)
     asked = {MEASURES[m] for m in MEASURES if flag(f"vis_{m}")}
     single = [r for r in ROUTES if flag(f"vis_{r}_single")]
     pair_only = flag("vis_a-choice") and a.OR >= 0 and a.DEST >= 0
     need_graph = bool(asked - {"area", "perimeter"} or single or a.vis_connections or a.vis_graph or a.gates)
     vertices, edges = isovist.isovist_vertices(centres, segments), None
     if need_graph and a.HEAL:
+        before = centres.count()
         centres, vertices, edges = place.heal(centres, segments, a.seed)
+        print(f"{centres.count() - before} bridges accepted")
     elif need_graph:
         vertices = written(vertices)
         edges = written(graph.visibility_edges(vertices, centres))
@@ -97,6 +102,9 @@ def run(spark: SparkSession, argv: list[str]) -> dict[str, str]:
         save(m.replace("_", "-"), drawings.measure_map(doc, table, m, a.LOG, a.FLIP, a.SIZE))
     if a.gates:
         matched = written(gate_ops.match(plans.read_gates(spark, a.gates), centres, a.MAX_GATE_RADIUS))
+        warn(plans.skipped_lines(spark, a.gates, 4), a.gates)
+        if lost := matched.where("isovist_id is null").count():
+            print(f"{lost} of {matched.count()} gates have no viewpoint within {a.MAX_GATE_RADIUS:g}", file=sys.stderr)
         made["gates-csv"] = os.path.join(folder, f"{stem}-gates-{n}.csv")
         plans.write_gates(gate_ops.report(matched, centres, table), made["gates-csv"])
         save("gates", drawings.gates_map(doc, centres, matched, a.SIZE))
@@ -129,9 +137,30 @@ def run(spark: SparkSession, argv: list[str]) -> dict[str, str]:
     return made
 
 
-def main() -> None:
-    import sys
+def simplify(spark: SparkSession, argv: list[str]) -> str:
+    """Rewrites a plan's curves as straight lines: <input.svg> [output.svg] [--segments k] [--tolerance t]."""
+    p = argparse.ArgumentParser(prog="sightline simplify", allow_abbrev=False)
+    p.add_argument("plan")
+    p.add_argument("output", nargs="?")
+    p.add_argument("--segments", type=int, default=8, help="lines for each curve")
+    p.add_argument("--tolerance", type=float, default=0.05, help="greatest distance of a control point from the chord of a curve that counts as straight")
+    a = p.parse_args(argv)
+    to, n = plans.write_simplified(spark, a.plan, a.output, a.segments, a.tolerance)
+    print(f"{n['paths']} paths -> {to}: {n['straightened']} curves became lines, {n['tessellated']} became {a.segments} lines each, {n['arcs']} arcs became chords")
+    return to
+
 
+def warn(skipped: DataFrame, path: str) -> None:
+    for r in skipped.orderBy("line").limit(20).collect():
+        print(f"{path}, line {r.line}: {r.reason}; left out", file=sys.stderr)
+    if n := skipped.count():
+        print(f"{path}: {n} lines left out", file=sys.stderr)
+
+
+def main() -> None:
+    if sys.argv[1:2] == ["simplify"]:
+        simplify(SparkSession.builder.appName("sightline").getOrCreate(), sys.argv[2:])
+        return
     run(SparkSession.builder.appName("sightline").getOrCreate(), sys.argv[1:])
 
 
