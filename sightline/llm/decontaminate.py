@@ -147,10 +147,11 @@ def with_last(found: Iterator[list[tuple]]) -> Iterator[tuple[list[tuple], bool]
         now = after
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = BLOCK_WORDS, keep_text: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, [text], n_words, hits (merged word ranges) and items (sorted ids) of each document."""
+def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = BLOCK_WORDS, keep_text: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, [text], the columns of docs in `keep`, n_words, hits (merged word ranges) and items (sorted ids) of each document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    named = {f"kept_{i}": c for i, c in enumerate(keep)}
     spans, names, parts = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string()), []
     found = "hits array<struct<a:int,b:int>>, items array<string>"
 
@@ -181,7 +182,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = B
             windows.unpersist()
     out = one_pass(rows, windows, False)
     if not parts:
-        return out
+        return out.withColumnsRenamed(named)
     # Rows with hits of several blocks: few and short, without texts.
     earlier = reduce(DataFrame.unionByName, parts).groupBy("row_").agg(F.flatten(F.collect_list("hits")).alias("hits2"), F.flatten(F.collect_list("items")).alias("items2"))
     both = out.join(earlier, "row_", "left").drop("row_")
@@ -195,7 +196,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = B
             cols["items"] = pa.array([sorted({*i, *k}) for i, k in zip(more["items"], more["items2"], strict=True)], names)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return both.mapInArrow(merge, StructType(fields))
+    return both.mapInArrow(merge, StructType(fields)).withColumnsRenamed(named)
 
 
 def n_hit(hits: Column) -> Column:

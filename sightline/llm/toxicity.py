@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import folded, materialize, table
 
@@ -217,8 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_docs
     return model
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", with_passages: bool = False) -> DataFrame:
-    """doc_id, score and, if asked for, passages: (first word, last word, surprise) of each segment beyond chance."""
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", with_passages: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, the columns of docs in `keep` and, if asked for, passages: (first word, last word, surprise) of each segment beyond chance."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +229,14 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             cols = [b.column("doc_id"), pa.array([m.probability(t) for t in texts], pa.float64())]
             if with_passages:
                 found = [m.passages(t) for t in texts]
-                cols.append(pa.array([[{"first": a, "last": e, "surprise": m.surprise(n, x)} for a, e, x in f if m.surprise(n, x) > 3] for n, f in found], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("surprise", pa.float64())]))))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "passages"][: len(cols)])
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, score double" + ", passages array<struct<first:int,last:int,surprise:double>>" * with_passages)
+                cols.insert(2, pa.array([[{"first": a, "last": e, "surprise": m.surprise(n, x)} for a, e, x in f if m.surprise(n, x) > 3] for n, f in found], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("surprise", pa.float64())]))))
+            yield pa.RecordBatch.from_arrays([*cols, *(b.column(f"kept_{i}") for i in range(len(keep)))], names=[f.name for f in schema])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    found = StructType.fromDDL("score double" + ", passages array<struct<first:int,last:int,surprise:double>>" * with_passages)
+    schema = StructType([rows.schema["doc_id"], *found.fields, *rows.schema.fields[2:]])
+    out = rows.mapInArrow(run, schema)
+    return out.withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
