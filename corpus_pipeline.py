@@ -1,9 +1,9 @@
 """A training-corpus pipeline of five operators. Each stage takes (spark, docs, sf_dir) and returns the documents it keeps; the last returns the mix.
 
-Row and null handling is that of the operators: rows with a null id are scored, linked and scanned like others. A stage that removes documents numbers
-its rows first and removes by that number, so a verdict holds for its own row only, whatever ids are null or repeated. Within a group of
-near duplicates the row with the smallest id stays (null last). Of rows that stay and share an id that is not null, one does, chosen by a
-hash of their columns."""
+Row and null handling is that of the operators: rows with a null id are scored, linked and scanned like others. Scores and hits are found with a row's
+other columns at hand, so a verdict holds for its own row only, whatever ids are null or repeated, and no text is written besides the stages' results.
+Within a group of near duplicates the row with the smallest id stays (null last), of rows that are equal in all columns one. Of rows that stay and
+share an id that is not null, one does, chosen by a hash of their columns."""
 
 from __future__ import annotations
 
@@ -18,43 +18,45 @@ from sightline.llm._common import materialize, scratch, small, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs, written once, with a number row_ for each row."""
-    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_")), "numbered")
+KEY = ["k1", "k2"]
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs, which are numbered, whose number is not in gone(row_)."""
-    return docs.join(small(gone), "row_", "left_anti").select(COLUMNS)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with 128 bits that stand for all columns of a row."""
+    return docs.select(*COLUMNS, *(F.xxhash64(F.lit(k), F.col("doc_id").isNull(), *COLUMNS).alias(k) for k in KEY))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at the threshold or above go."""
-    docs = numbered(docs)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scores = toxicity.score(docs, model, doc_id="row_").where(F.col("score") >= toxicity.THRESHOLD)
-    return without(docs, materialize(scores.select(F.col("doc_id").alias("row_")), "toxic"))
+    return toxicity.score(docs, model, keep=tuple(COLUMNS[1:])).where(F.col("score") < toxicity.THRESHOLD).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest id."""
-    docs = numbered(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64(*COLUMNS[1:]).alias("hash"), "row_")
+    docs = keyed(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", *KEY)
     groups = simhash.near_duplicates(docs.select(place.alias("place"), "text"), doc_id="place")
-    groups = materialize(groups.select(F.col("doc_id").alias("place"), (F.col("doc_id.row_") == F.col("component_id.row_")).alias("first")), "groups")
+    groups = groups.select(F.col("doc_id").alias("place"), (F.col("doc_id") == F.col("component_id")).alias("first"))
+    groups = materialize(groups.groupBy("place", "first").agg(F.count("*").alias("n")), "groups")
     # Representatives that share an id: one of each stays.
     first = groups.where(F.col("first") & ~F.col("place.absent")).select(F.col("place.doc_id").alias("id"), "place")
     again = materialize(first.groupBy("id").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1").select("id", "least"), "again")
-    shared = first.join(small(again), "id").where(F.col("place.row_") != F.col("least.row_"))
-    gone = groups.where(~F.col("first")).unionByName(shared.select("place", F.lit(False).alias("first")))
-    return without(docs, materialize(gone.select(F.col("place.row_").alias("row_")), "copies"))
+    shared = first.join(small(again), "id").where(F.col("place") != F.col("least")).select("place")
+    gone = groups.where(~F.col("first")).select("place").unionByName(shared)
+    kept = docs.join(small(materialize(gone.select("place.k1", "place.k2"), "copies")), KEY, "left_anti")
+    # Rows equal in all columns: one of each stays.
+    equal = groups.where(F.col("first") & (F.col("n") > 1)).select("place.k1", "place.k2")
+    if equal.limit(1).count():
+        equal = small(materialize(equal, "equal"))
+        kept = kept.join(equal, KEY, "left_anti").unionByName(kept.join(equal, KEY, "left_semi").dropDuplicates(KEY))
+    return kept.select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule names go; others stay as they are."""
-    docs = numbered(docs)
-    hits = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), doc_id="row_").withColumn("n_hit", decontaminate.n_hit(F.col("hits")))
-    return without(docs, materialize(hits.where(decontaminate.contaminated()).select(F.col("doc_id").alias("row_")), "contaminated"))
+    hits = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep_text=True, keep=tuple(COLUMNS[2:])).withColumn("n_hit", decontaminate.n_hit(F.col("hits")))
+    return hits.where(~decontaminate.contaminated()).select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
