@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: scratch tables, size-checked joins, Arrow row mapping."""
+"""Helpers shared by the corpus operators: scratch tables, size-checked joins, joins on busy keys, folds."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..scratch import discard, fresh, if_small, written
 
-__all__ = ["BROADCAST_ROWS", "WS", "discard", "fold", "folded", "materialize", "n_words", "scratch", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "BUSY", "WS", "discard", "fold", "folded", "join_busy", "materialize", "n_words", "scratch", "small", "table"]
 #: White space of the word rules, as a Java character class.
 WS = r"\x20\x09-\x0D"
 #: Rows of a single-long-column table that may be broadcast (about 32 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
+#: Rows of one key from which a join does not shuffle them: a million such keys, the most that are broadcast, are 10^11 rows.
+BUSY = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return if_small(df, rows)
 
 
+def join_busy(rows: DataFrame, lookup: DataFrame, key: str, busy: DataFrame) -> DataFrame:
+    """rows left-joined with lookup, which has one row a key, on a key that is not null. Rows of the keys in `busy` (distinct) stay where they are and
+    meet their part of lookup by broadcast, so that a key with a third of all rows is not one task's work; the result is that of the plain join."""
+    busy = materialize(busy, "busy")
+    if not busy.limit(1).count():
+        return rows.join(lookup, key, "left")
+    busy = small(busy)
+    few = small(materialize(lookup.join(busy, key, "left_semi"), "busy-part"))
+    rest = rows.join(busy, key, "left_anti").join(lookup, key, "left")
+    return rest.unionByName(rows.join(busy, key, "left_semi").join(few, key, "left"))
+
+
 def folded(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod (null id: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

@@ -7,7 +7,8 @@ back to all paths. Texts move only for unseen blobs; the join back carries blob
 without findings do not need a match. DataFrame functions only.
 
 Skew: copies collapse in the map-side part of the aggregation by blob; the text of a blob is fetched by the unique id of one
-of its rows; in the join back AQE splits a blob that very many paths share.
+of its rows; in the join back a blob that very many rows share
+(`busy` or more) meets its findings by broadcast, so its rows and texts are not shuffled by it.
 
 Defined results: a null text is the empty blob; rows that are equal are returned as often as they come; a null path
 is a path of its own; an empty table gives an empty result; columns besides path and text are not read.
@@ -20,7 +21,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, scratch, table
+from ._common import BUSY, join_busy, materialize, scratch, table
 from .spans import Rule, add_spans, joined, redact
 
 RULES = [
@@ -68,22 +69,27 @@ def update(versions: DataFrame, ledger: str, path: str = "path", text: str = "te
     return rows
 
 
-def scan(versions: DataFrame, ledger: str | None = None, path: str = "path", text: str = "text") -> DataFrame:
+def busy_blobs(rows: DataFrame, busy: int) -> DataFrame:
+    """The blobs with at least `busy` rows."""
+    return rows.groupBy("blob").agg(F.count("*").alias("n")).where(F.col("n") >= busy).select("blob")
+
+
+def scan(versions: DataFrame, ledger: str | None = None, path: str = "path", text: str = "text", busy: int = BUSY) -> DataFrame:
     """(path, blob, spans) for each row of versions; spans: (start, kind number, end) by start."""
     spark = versions.sparkSession
     ledger = ledger or scratch(spark, "ledger")
     rows = materialize(update(versions, ledger, path, text), "versions")
     hits = ledger_at(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
-    return rows.join(hits, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return join_busy(rows, hits, "blob", busy_blobs(rows, busy)).select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
-def redacted(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, path: str = "doc_id", text: str = "text", busy: int = BUSY) -> DataFrame:
     """docs with findings in the text replaced by [SECRET]; other texts as they were. Scans by blob, then redacts by blob."""
     spark = docs.sparkSession
     ledger = scratch(spark, "ledger")
-    update(docs, ledger, path, text)
+    rows = update(docs, ledger, path, text)
     hits = ledger_at(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("blob_"), F.col("spans").alias("spans_"))
-    joined_ = docs.join(hits, blob_id(F.col(text)) == F.col("blob_"), "left")
+    joined_ = join_busy(docs.withColumn("blob_", blob_id(F.col(text))), hits, "blob_", busy_blobs(rows, busy).withColumnRenamed("blob", "blob_"))
     return redact(joined_, text, "spans_", lambda x: F.lit("[SECRET]")).drop("blob_", "spans_")
 
 

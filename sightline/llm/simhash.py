@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stars import stars
-from ._common import materialize, table
+from ._common import BUSY, join_busy, materialize, table
 
 SHINGLE, SEED, RADIUS, TILE, SUB = 3, 42, 2, 1024, 256
 
@@ -136,16 +136,16 @@ def components(edges: DataFrame) -> DataFrame:
     return stars(edges)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the smallest id reachable) of each row."""
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, doc_id: str = "doc_id", text: str = "text", busy: int = BUSY) -> DataFrame:
+    """doc_id, fp and component_id (the smallest id reachable) of each row. Rows of a fingerprint that has at least `busy` are not shuffled by it."""
     prints = materialize(fingerprints(docs, doc_id, text), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(near_links(least.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
     named = least.join(roots.unionAll(roots.select(F.col("root").alias("fp"), "root").distinct()), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "roots")
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(first, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return join_busy(prints, ids, "fp", named.where(F.col("n") >= busy).select("fp")).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,18 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, scratch, table
+from ._common import BUSY, join_busy, materialize, scratch, table
 
 LEAST, CHUNK, SLICE = 1000, 1 << 16, 1 << 16
 CHUNKS = "record_id string, page_id string, target_uri string, record_type string, refers_to string, chunk_no int, data binary, bytes_so_far long, sha1_so_far string, is_last boolean, payload_bytes long, payload_digest string"
 
 
-def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def roles(pages: DataFrame, least: int = LEAST, busy: int = BUSY) -> DataFrame:
     """page_id, digest, payload_bytes, refers_to (null for responses) for each distinct page id and payload."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     meta = materialize(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes")).distinct(), "digests")
-    largest = meta.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = meta.join(largest, "digest", "left")
+    largest = meta.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
+    out = join_busy(meta, largest, "digest", largest.where(F.col("n") >= busy).select("digest"))
     return out.select("page_id", "digest", "payload_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
 
