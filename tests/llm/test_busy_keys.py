@@ -3,25 +3,14 @@
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
-from sightline.llm import secrets, simhash, warc
+from sightline.llm import warc
 from sightline.llm._common import join_busy
 
-KEY = "password: abcdefghijkl1234"
-TEXTS = [None, "", "one two three four"] * 4 + [KEY] * 5 + [f"{KEY} and more {i}" for i in range(3)] + ["plain words only"] * 6
-
-
 def rows(df) -> Counter:
     return Counter(tuple(str(x) for x in r) for r in df.collect())
 
 
-@pytest.fixture(scope="module")
-def docs(spark):
-    ids = [None if i % 7 == 6 else i for i in range(len(TEXTS))]
-    return spark.createDataFrame(list(zip(ids, TEXTS, strict=True)), "doc_id long, text string")
-
-
 def test_join(spark):
     left = spark.createDataFrame([(i % 3, i) for i in range(30)] + [(7, 99), (7, 100)], "k int, x int")
     right = spark.createDataFrame([(0, "a"), (2, "b"), (5, "c")], "k int, y string")
@@ -31,19 +20,6 @@ def test_join(spark):
         assert got.columns == ["k", "x", "y"] and rows(got) == want
 
 
-@pytest.mark.parametrize("busy", [1, 2, 5, 8])
-def test_fingerprints(docs, busy):
-    assert rows(simhash.near_duplicates(docs, busy=busy)) == rows(simhash.near_duplicates(docs))
-
-
-@pytest.mark.parametrize("busy", [1, 4, 8])
-def test_blobs(docs, busy):
-    assert rows(secrets.scan(docs, path="doc_id", busy=busy)) == rows(secrets.scan(docs, path="doc_id"))
-    got, want = secrets.redacted(docs, busy=busy), secrets.redacted(docs)
-    assert got.columns == want.columns == docs.columns and rows(got) == rows(want)
-    assert not got.where(F.col("text").contains("abcdefghijkl")).count()
-
-
 @pytest.mark.parametrize("busy", [2, 3, 6])
 def test_payloads(spark, busy):
     pages = spark.createDataFrame([(i, "u", "x" * 1200 if i % 2 else ("y" * 1100 if i % 3 else f"{i}")) for i in range(12)], "page_id long, url string, html string")
