@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import discard, fresh, if_small, written
 
-__all__ = ["BROADCAST_ROWS", "BUSY", "WS", "discard", "fold", "folded", "join_busy", "materialize", "n_words", "scratch", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "BUSY", "WS", "discard", "fold", "folded", "in_batches", "join_busy", "materialize", "n_words", "scratch", "small", "table"]
 #: White space of the word rules, as a Java character class.
 WS = r"\x20\x09-\x0D"
 #: Rows of a single-long-column table that may be broadcast (about 32 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
 #: Rows of one key from which a join does not shuffle them: a million such keys, the most that are broadcast, are 10^11 rows.
 BUSY = 100_000
+#: Bytes of an Arrow batch that goes to a Python worker. A single row may be larger and then goes alone.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +62,15 @@ def fold(doc_id, mod: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
 
 
+def in_batches(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """df.mapInArrow, its batches bounded by bytes too, as ten thousand long texts in one batch would not fit. Lowers the session's own bound of
+    the batches if that is higher."""
+    spark = df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF)) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def n_words(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in the text; null: 0."""
     parts = F.split(F.coalesce(text, F.lit("")), f"[{WS}]+", -1)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import materialize, table
+from ._common import in_batches, materialize, table
 
 N = 13
 BLOCK_WORDS = 2_000_000
@@ -171,7 +171,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = B
                 out = pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array([len(d) for d in docs_], pa.int64()), ranges_of(ranges), pa.array(items, names)], names=[*(f.name for f in keep), "n_words", "hits", "items"])
                 yield out.filter(pa.array([bool(r) for r in ranges], pa.bool_())) if only_hits else out
 
-        return df.mapInArrow(scan, StructType([*keep, *StructType.fromDDL(f"n_words long, {found}").fields]))
+        return in_batches(df, scan, StructType([*keep, *StructType.fromDDL(f"n_words long, {found}").fields]))
 
     for block, last in with_last(blocks(benchmark, block_words, item_id, item_text)):
         windows = spark.sparkContext.broadcast(Windows(block, n))
@@ -196,7 +196,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = B
             cols["items"] = pa.array([sorted({*i, *k}) for i, k in zip(more["items"], more["items2"], strict=True)], names)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return both.mapInArrow(merge, StructType(fields)).withColumnsRenamed(named)
+    return in_batches(both, merge, StructType(fields)).withColumnsRenamed(named)
 
 
 def n_hit(hits: Column) -> Column:
@@ -235,7 +235,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **
             texts = [without_spans(t, [(x["a"], x["b"]) for x in h]) for t, h in zip(b.column("text").to_pylist(), b.column("hits").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return df.mapInArrow(cut, df.select("doc_id", "text").schema)
+    return in_batches(df, cut, df.select("doc_id", "text").schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

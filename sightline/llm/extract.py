@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, small, table
+from ._common import in_batches, materialize, small, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 #: The same, with quoted values that end before the next tag. It takes over once a quote is found that nothing closes: looking for its end from each tag
@@ -435,7 +435,7 @@ def votes(pages: DataFrame, top: int = 3) -> DataFrame:
                     v[1] += s
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), *(pa.array([v[i] for v in rows.values()], pa.float64()) for i in (0, 1))], names=["host", "path", "votes", "score"])
 
-    cast = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, votes double, score double")
+    cast = in_batches(pages.select(host(F.col("url")).alias("host"), "html"), run, "host string, path string, votes double, score double")
     return cast.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"), F.round(F.sum("score"), 3).alias("score"))
 
 
@@ -458,7 +458,7 @@ def extract(pages: DataFrame, host_rows: int = 200_000) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     id_type = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {id_type}, url string, text string")
+    return in_batches(rows, run, f"page_id {id_type}, url string, text string")
 
 
 def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

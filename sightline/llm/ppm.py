@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, fold, folded, materialize, table
+from ._common import discard, fold, folded, in_batches, materialize, table
 
 #: The end token cannot be a word: it has white space in it.
 END = b"\n"
@@ -104,7 +104,7 @@ def count_grams(docs: DataFrame, text: str = "text", training: str = "training")
         if len(keys):
             yield rows()
 
-    return docs.select(text, training).mapInArrow(count, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return in_batches(docs.select(text, training), count, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class Index:
@@ -309,7 +309,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
         if held:
             yield flush()
 
-    counts = training.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = in_batches(training.select("text"), count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "tokens")
     known, total = counts.agg(F.count("*"), F.sum("n")).first()
     total = total or 0
@@ -339,7 +339,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, kinds[k]) for k, v in cols.items()), pa.array(sums), tail], names=["doc_id", *cols, "score", "tail"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    part = rows.mapInArrow(first, f"doc_id {id_type}, n_tokens long, n_known long, base double, rare array<binary>, score double, tail array<bigint>")
+    part = in_batches(rows, first, f"doc_id {id_type}, n_tokens long, n_known long, base double, rare array<binary>, score double, tail array<bigint>")
     # Written once, so that the row number stays what it is whatever is lost later.
     part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = part.select("row", F.explode("rare").alias("token"))

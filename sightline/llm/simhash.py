@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stars import stars
-from ._common import materialize, table
+from ._common import in_batches, materialize, table
 
 SHINGLE, SEED, RADIUS, TILE, SUB = 3, 42, 2, 1024, 256
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(hash_rows, f"doc_id {id_type}, fp long")
+    return in_batches(rows, hash_rows, f"doc_id {id_type}, fp long")
 
 
 def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
             if out_u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], names=["u", "v"])
 
-    return single.unionByName(pairs).mapInArrow(compare, "u long, v long")
+    return in_batches(single.unionByName(pairs), compare, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

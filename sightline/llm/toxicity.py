@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import folded, materialize, table
+from ._common import folded, in_batches, materialize, table
 
 MOD, OUT, THRESHOLD = 4, 2, 0.3
 MAX_TRAIN, MIN_DOCS, MIN_Z, PRIOR, PENALTY = 200_000, 3, 3.7, 10.0, 0.4
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_docs
         if held[0] or held[1]:
             yield flush()
 
-    counts = rows.where(~F.col("apart")).select("text", "toxic").mapInArrow(count, "f string, a long, c long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    counts = in_batches(rows.where(~F.col("apart")).select("text", "toxic"), count, "f string, a long, c long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     counts = materialize(counts, "features")
     sizes = next(((r.a, r.c) for r in counts.where("f = ''").collect()), (0, 0))
     model = Model({r.f: r.x for r in weigh(counts.where("f <> ''"), *sizes, min_docs=min_docs).collect()} if all(sizes) else {})
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_docs
             out += [(-1, k, [x]) for x, k in words.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["y", "n", "s"])
 
-    tried = rows.where("apart").select("text", "toxic").mapInArrow(apart, "y int, n long, s array<double>").collect()
+    tried = in_batches(rows.where("apart").select("text", "toxic"), apart, "y int, n long, s array<double>").collect()
     words, tried = [(r.s[0], r.n) for r in tried if r.y < 0], [r for r in tried if r.y >= 0]
     y = np.array([r.y for r in tried], float)
     if not all(sizes) or not y.sum() or y.sum() == len(y):
@@ -235,7 +235,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     found = StructType.fromDDL("score double" + ", passages array<struct<first:int,last:int,surprise:double>>" * with_passages)
     schema = StructType([rows.schema["doc_id"], *found.fields, *rows.schema.fields[2:]])
-    out = rows.mapInArrow(run, schema)
+    out = in_batches(rows, run, schema)
     return out.withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
 
 

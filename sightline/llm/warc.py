@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BUSY, join_busy, materialize, scratch, table
+from ._common import BUSY, in_batches, join_busy, materialize, scratch, table
 
 LEAST, CHUNK, SLICE = 1000, 1 << 16, 1 << 16
 CHUNKS = "record_id string, page_id string, target_uri string, record_type string, refers_to string, chunk_no int, data binary, bytes_so_far long, sha1_so_far string, is_last boolean, payload_bytes long, payload_digest string"
@@ -75,7 +75,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["file", "records"])
 
-    return records.select("page_id", "url", "html", "digest", "payload_bytes", "refers_to").mapInArrow(run, "file string, records long")
+    return in_batches(records.select("page_id", "url", "html", "digest", "payload_bytes", "refers_to"), run, "file string, records long")
 
 
 class Source:
