@@ -3,7 +3,8 @@
 Rules vote good (+1), bad (-1) or abstain (0) on each document. The corpus is reduced to counts by vote pattern (at most 3 to the
 number of rules); expectation-maximisation over these counts, on the driver, estimates each rule's accuracy and the share
 of good documents; the posterior probability of quality replaces an all-must-pass filter. DataFrame functions only:
-statistics and votes stay in one row, and the one shuffle is that of the pattern counts.
+statistics and votes stay in one row, and the one shuffle is that of the pattern counts. The rates that EM starts from count as PRIOR_DOCS documents
+of either class, whatever the corpus holds, so they fade as it grows.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows are judged alike, each for itself;
 an empty table gives an empty result; columns besides id and text are not read.
@@ -19,6 +20,8 @@ from ._common import WS, materialize, table
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
+#: Documents of either class that the built-in rates stand for.
+PRIOR_DOCS = 10
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -69,14 +72,13 @@ def votes() -> list[Column]:
     ]
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> dict:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, strength: float = PRIOR_DOCS) -> dict:
     """EM: each rule has a rate of bad, no and good votes under either class. Starts from rules that are mostly right, and
-    pseudo-counts of the same kind keep the classes from changing places."""
+    `strength` pseudo-counts of the same kind keep rates above zero and the classes from changing places."""
     r = patterns.shape[1]
     prior = np.zeros((2, r, 3))
     prior[0], prior[1] = (0.4, 0.45, 0.15), (0.02, 0.58, 0.4)
     rate, good, total = prior.copy(), 0.8, max(float(counts.sum()), 1.0)
-    strength = 1 + 0.01 * total
 
     def posterior() -> np.ndarray:
         logs = [np.log(rate[c][np.arange(r), patterns + 1]).sum(axis=1) for c in (0, 1)]
