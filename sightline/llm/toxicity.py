@@ -45,25 +45,27 @@ def features(words: set[str]) -> set[str]:
 
 def segments(scores: list[tuple[int, float]], penalty: float) -> list[tuple[int, int, float]]:
     """Ruzzo-Tompa: all maximal scoring segments (first, last, score) of a sequence with these (position, score) and -penalty elsewhere."""
-    found: list[list] = []  # [first, last, left total, right total]
+    # [first, last, left total, right total, the nearest segment before it with a lower left total or -1]: a search skips those in between, which makes it linear.
+    found: list[list] = []
     total, last = 0.0, -1
     for pos, x in scores:
         total -= penalty * (pos - last - 1)
         if x <= 0:
             total, last = total + x, pos
             continue
-        seg = [pos, pos, total, total + x]
+        first, left = pos, total
         total, last = total + x, pos
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= seg[3]:
-                found.append(seg)
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
+                found.append([first, pos, left, total, j])
                 break
-            seg = [found[j][0], seg[1], found[j][2], seg[3]]
+            first, _, left, _, before = found[j]
             del found[j:]
-    return [(a, b, r - l) for a, b, l, r in found]
+            j = before
+    return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
 class Model:
