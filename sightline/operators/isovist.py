@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..scratch import if_small
 
 OUTER = -1
+#: Segments of a plan that go to every task (about 16 MB). The points of a larger plan meet them as pairs of partitions.
+SEGMENTS = 200_000
 
 
 def ring_edges(rings: DataFrame, key: str = "pid", order: str = "vi") -> DataFrame:
@@ -43,9 +46,9 @@ def open_area(rings: DataFrame) -> DataFrame:
 
 
 def inside(points: DataFrame, edges: DataFrame, key: str = "pid") -> DataFrame:
-    """id, key of each point in each ring (even-odd). The edges of a plan are few next to the points and go to every task."""
+    """id, key of each point in each ring (even-odd). The edges of a plan are few next to the points and go to every task (counted first)."""
     hit = g.crosses(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    at = points.join(F.broadcast(edges), g.straddles(F.col("y"), F.col("ay"), F.col("by")) & hit)
+    at = points.join(if_small(edges, SEGMENTS), g.straddles(F.col("y"), F.col("ay"), F.col("by")) & hit)
     return at.groupBy("id", key).agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", key)
 
 
@@ -60,16 +63,16 @@ def rays(centres: DataFrame, segments: DataFrame) -> DataFrame:
     """id, x, y, angle: to each end point of a segment and a little to either side, each angle once."""
     ends = segments.select(F.col("ax").alias("vx"), F.col("ay").alias("vy")).union(segments.select("bx", "by")).distinct()
     a = F.atan2(F.col("vy") - F.col("y"), F.col("vx") - F.col("x"))
-    three = centres.join(F.broadcast(ends), F.lit(True)).select("id", "x", "y", F.explode(F.array(a - g.SIDE, a, a + g.SIDE)).alias("angle"))
+    three = centres.join(if_small(ends, SEGMENTS), F.lit(True)).select("id", "x", "y", F.explode(F.array(a - g.SIDE, a, a + g.SIDE)).alias("angle"))
     return three.distinct()
 
 
 def isovist_vertices(centres: DataFrame, segments: DataFrame) -> DataFrame:
-    """id, vi, angle, x, y: the visibility polygon of each centre, by angle. Segments are one plan's and go to every task; a viewpoint's rays
+    """id, vi, angle, x, y: the visibility polygon of each centre, by angle. Segments are one plan's and go to every task (counted first); a viewpoint's rays
     meet them there and the nearest hit is taken before anything is shuffled."""
     t = g.ray_hit(F.col("x"), F.col("y"), F.col("angle"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     r = rays(centres, segments)
-    hits = r.join(F.broadcast(segments), F.lit(True)).groupBy("id", "x", "y", "angle").agg(F.coalesce(F.min(t), F.lit(0.0)).alias("t"))
+    hits = r.join(if_small(segments, SEGMENTS), F.lit(True)).groupBy("id", "x", "y", "angle").agg(F.coalesce(F.min(t), F.lit(0.0)).alias("t"))
     w = Window.partitionBy("id").orderBy("angle")
     return hits.select("id", (F.row_number().over(w) - 1).alias("vi"), "angle", (F.col("x") + F.cos("angle") * F.col("t")).alias("x"), (F.col("y") + F.sin("angle") * F.col("t")).alias("y"))
 
@@ -77,7 +80,3 @@ def isovist_vertices(centres: DataFrame, segments: DataFrame) -> DataFrame:
 def isovist_stats(vertices: DataFrame) -> DataFrame:
     """id, n_vertices, area, perimeter."""
     return ring_measures(vertices, "id", "vi")
-
-
-def rounded(c: str | Column, digits: int = 4) -> Column:
-    return F.round(c, digits)
