@@ -48,3 +48,9 @@ def test_empty(world):
 def test_nose_route(world, pairs):
     c, e, seen, _ = world
     assert rows(routes.nose_route(pairs, c, seen)) == rows(routes.nose_route(pairs, c, e)) == rows(routes.nose_route(pairs, c, e, arcs=0))
+
+
+def test_polar_route(world, pairs):
+    c, e, seen, _ = world
+    assert rows(routes.polar_route(pairs, c, seen)) == rows(routes.polar_route(pairs, c, e)) == rows(routes.polar_route(pairs, c, e, arcs=0))
+    assert rows(routes.metric_route(pairs, c, seen)) == rows(routes.metric_route(pairs, c, e))
