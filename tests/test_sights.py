@@ -54,3 +54,9 @@ def test_polar_route(world, pairs):
     c, e, seen, _ = world
     assert rows(routes.polar_route(pairs, c, seen)) == rows(routes.polar_route(pairs, c, e)) == rows(routes.polar_route(pairs, c, e, arcs=0))
     assert rows(routes.metric_route(pairs, c, seen)) == rows(routes.metric_route(pairs, c, e))
+
+
+def test_polar_sweep(world, pairs):
+    """One job for all exponents."""
+    c, e, seen, _ = world
+    assert rows(routes.polar_sweep(pairs, c, seen, [1.0, 2.4])) == rows(routes.polar_sweep(pairs, c, e, [1.0, 2.4]))
