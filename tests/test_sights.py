@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import graph, isovist, routes, sights
+from sightline import registry
+from sightline.operators import centrality, graph, isovist, routes, sights
 from sightline.plans import fixture
 from test_searches import rows
 
@@ -60,3 +61,23 @@ def test_polar_sweep(world, pairs):
     """One job for all exponents."""
     c, e, seen, _ = world
     assert rows(routes.polar_sweep(pairs, c, seen, [1.0, 2.4])) == rows(routes.polar_sweep(pairs, c, e, [1.0, 2.4]))
+
+
+def test_hops(world):
+    c, e, seen, _ = world
+    assert rows(graph.depths(seen, c)) == rows(graph.depths(e, c)) == rows(graph.depths(e, c, arcs=0))
+    assert rows(graph.topo_status(seen, c)) == rows(graph.topo_status(graph.depths(e, c), c))
+
+
+def test_choices(world):
+    c, e, seen, _ = world
+    delta = centrality.dependencies(e, graph.depths(e, c))
+    assert rows(centrality.choices(seen).select("id", F.round("choice", 6), F.round("d_choice", 6))) == rows(centrality.choice(delta).join(centrality.d_choice(delta, e), "id").select("id", F.round("choice", 6), F.round("d_choice", 6)))
+
+
+@pytest.mark.parametrize("name", ["choice"])
+def test_no_arcs_as_rows(spark, monkeypatch, name):
+    """These queries list no arcs: they are the square of the viewpoints."""
+    monkeypatch.setattr(graph, "visibility_edges", None)
+    monkeypatch.setattr(sights.Sights, "edges", None)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
