@@ -75,7 +75,7 @@ def test_choices(world):
     assert rows(centrality.choices(seen).select("id", F.round("choice", 6), F.round("d_choice", 6))) == rows(centrality.choice(delta).join(centrality.d_choice(delta, e), "id").select("id", F.round("choice", 6), F.round("d_choice", 6)))
 
 
-@pytest.mark.parametrize("name", ["choice", "d_choice", "topo_depth", "topo_status"])
+@pytest.mark.parametrize("name", ["choice", "d_choice", "topo_depth", "topo_status", "polar_status"])
 def test_no_arcs_as_rows(spark, monkeypatch, name):
     """These queries list no arcs: they are the square of the viewpoints."""
     monkeypatch.setattr(graph, "visibility_edges", None)
@@ -107,3 +107,28 @@ def test_free_turn(spark):
     one = spark.createDataFrame([(0, 3)], "origin long, dest long")
     assert rows(routes.angular_route(one, c, e)) == rows(routes.angular_route(one, c, e, arcs=0))
     assert routes.angular_route(one, c, e).first().total < 1e-6
+
+
+def test_polar_costs(world):
+    """Arcs are left out by bounds in single precision; costs, angles and ties are those of the plain search, also between points at one place or in one line."""
+    import numpy as np
+    from sightline.operators import _local, _polar
+
+    ids = np.arange(60)
+    x, y = (ids * 7 % 13 + 0.25 * (ids > 40)).astype(float), (ids * 5 % 11).astype(float)
+    sees = np.abs(x[:, None] - x) + np.abs(y[:, None] - y) < 5
+    sees[55:], sees[:, 55:] = False, False
+    a, b = np.nonzero(sees & (ids[:, None] != ids))
+    bare = _local.Net(a, b, x[a], y[a], x[b], y[b], np.hypot(x[b] - x[a], y[b] - y[a]))
+    for net in (bare, _local.net(world[1])):
+        for at in range(0, len(net.ids), 7):
+            units = net.off_goal(slice(None), net.x[at], net.y[at]) * (180.0 / np.pi) / 90.0
+            for gamma in (0.0, 0.5, 1.0, 2.4, 6.0, 16.0):
+                cost, _, angle = net.cheapest(at, np.power(units, gamma) * net.dist, back=True, extra=units)
+                got = _polar.costs(net, at, net.x[at], net.y[at], gamma)
+                assert (got[0] == cost).all() and (got[1] == angle).all()
+
+
+def test_polar_status(world):
+    c, e, seen, _ = world
+    assert rows(centrality.polar_status(seen, c, [1.0, 3.0])) == rows(centrality.polar_status(e, c, [1.0, 3.0]))
