@@ -75,7 +75,7 @@ def test_choices(world):
     assert rows(centrality.choices(seen).select("id", F.round("choice", 6), F.round("d_choice", 6))) == rows(centrality.choice(delta).join(centrality.d_choice(delta, e), "id").select("id", F.round("choice", 6), F.round("d_choice", 6)))
 
 
-@pytest.mark.parametrize("name", ["choice", "d_choice", "topo_depth", "topo_status", "polar_status"])
+@pytest.mark.parametrize("name", ["choice", "d_choice", "topo_depth", "topo_status", "polar_status", "polar_gamma_sweep"])
 def test_no_arcs_as_rows(spark, monkeypatch, name):
     """These queries list no arcs: they are the square of the viewpoints."""
     monkeypatch.setattr(graph, "visibility_edges", None)
