@@ -9,6 +9,10 @@ from sightline.plans import fixture
 from test_searches import rows
 
 
+def values(df):
+    return {r[0]: r[1] for r in df.collect()}
+
+
 @pytest.fixture(scope="module")
 def world(spark):
     c = fixture.centres(spark, "/root/testdata/sf0.01").cache()
@@ -132,3 +136,35 @@ def test_polar_costs(world):
 def test_polar_status(world):
     c, e, seen, _ = world
     assert rows(centrality.polar_status(seen, c, [1.0, 3.0])) == rows(centrality.polar_status(e, c, [1.0, 3.0]))
+
+
+def test_prospect_status_by_bearing(world):
+    """Also on lines of centres, over which a way costs the same up to rounding."""
+    c, e, seen, plan = world
+    for weight in (1.0, 0.4):
+        assert values(centrality.prospect_status(seen, c, weight)) == pytest.approx(values(centrality.prospect_status(e, c, weight)), rel=0, abs=1e-9)
+
+
+def test_angular_integration_by_bearing(world):
+    c, e, seen, plan = world
+    assert values(centrality.angular_integration(seen, c)) == pytest.approx(values(centrality.angular_integration(centrality.arc_costs(e), c)), rel=0, abs=1e-7)
+
+
+@pytest.mark.parametrize("apart", [0.0, 200.0])
+def test_least_turns_with_lines_twins_and_islands(spark, apart):
+    """A lattice, whose lines are straight; twins at one place; a part that is not seen."""
+    plan = isovist.ring_edges(spark.createDataFrame([(p, i, float(x), float(y)) for p, s in enumerate([[(-1, -1), (9, -1), (9, 9), (-1, 9)], [(3.5, 2.3), (5.6, 2.3), (5.6, 5.4), (3.5, 5.4)], [(20, 0), (24, 0), (24, 4), (20, 4)]]) for i, (x, y) in enumerate(s)], "pid long, vi int, x double, y double"))
+    places = [(3 * (6 * i + j), 1.5 * i, 1.4 * j) for i in range(6) for j in range(6) if not (3.5 <= 1.5 * i <= 5.6 and 2.3 <= 1.4 * j <= 5.4)]
+    places += [(200, 21.0, 1.0), (201, 22.0, 3.0), (202, 23.0, 1.3)] + ([(300, 1.5, 1.4)] if not apart else [])
+    c = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in places], "id long, x double, y double").cache()
+    seen = sights.sights(c, plan)
+    e = seen.edges().cache()
+    assert values(centrality.prospect_status(seen, c)) == pytest.approx(values(centrality.prospect_status(e, c)), rel=0, abs=1e-9)
+    assert values(centrality.angular_integration(seen, c)) == pytest.approx(values(centrality.angular_integration(centrality.arc_costs(e), c)), rel=0, abs=1e-5)
+
+
+def test_least_turns_write_no_arcs(world, monkeypatch):
+    """Nor rows for each start and arc."""
+    c, _, seen, _ = world
+    monkeypatch.setattr(sights.Sights, "edges", lambda self: pytest.fail("arcs as rows"))
+    assert centrality.prospect_status(seen, c).count() == centrality.angular_integration(seen, c).count() == c.count()
