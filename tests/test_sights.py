@@ -168,3 +168,36 @@ def test_least_turns_write_no_arcs(world, monkeypatch):
     c, _, seen, _ = world
     monkeypatch.setattr(sights.Sights, "edges", lambda self: pytest.fail("arcs as rows"))
     assert centrality.prospect_status(seen, c).count() == centrality.angular_integration(seen, c).count() == c.count()
+
+
+def test_a_choice_from_bits(world):
+    """Counts are whole numbers, the choice among ways of equal turn is that of the full search."""
+    c, e, seen, _ = world
+    assert rows(centrality.a_choice(seen, seen, c)) == rows(centrality.a_choice(centrality.arc_costs(e, whole=centrality.WHOLE), e, c))
+    both = {r.id: r for r in centrality.turn_measures(seen, c).collect()}
+    assert {k: r.a_choice for k, r in both.items()} == values(centrality.a_choice(seen, seen, c))
+    assert {k: r.angular_integration for k, r in both.items()} == pytest.approx(values(centrality.angular_integration(seen, c)), rel=0, abs=1e-9)
+
+
+@pytest.mark.parametrize("twins", [0, 2])
+def test_a_choice_with_lines_twins_and_islands(spark, twins):
+    """On lines of centres nearly straight bends cost up to 20 parts each; over twins a turn is free; a part is not seen."""
+    plan = isovist.ring_edges(spark.createDataFrame([(p, i, float(x), float(y)) for p, s in enumerate([[(-1, -1), (9, -1), (9, 9), (-1, 9)], [(3.5, 2.3), (5.6, 2.3), (5.6, 5.4), (3.5, 5.4)], [(20, 0), (24, 0), (24, 4), (20, 4)]]) for i, (x, y) in enumerate(s)], "pid long, vi int, x double, y double"))
+    places = [(3 * (6 * i + j), 1.5 * i, 1.4 * j) for i in range(6) for j in range(6) if not (3.5 <= 1.5 * i <= 5.6 and 2.3 <= 1.4 * j <= 5.4)]
+    places += [(200, 21.0, 1.0), (201, 22.0, 3.0), (202, 23.0, 1.3)] + [(300, 1.5, 1.4)][: twins // 2]
+    c = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in places], "id long, x double, y double").cache()
+    seen = sights.sights(c, plan)
+    e = seen.edges().cache()
+    assert rows(centrality.a_choice(seen, seen, c)) == rows(centrality.a_choice(centrality.arc_costs(e, whole=centrality.WHOLE), e, c))
+
+
+def test_a_choice_writes_no_arcs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "visibility_edges", None)
+    monkeypatch.setattr(sights.Sights, "edges", None)
+    assert registry.QUERIES["a_choice"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_choice_of_nothing(world):
+    none = world[0].limit(0)
+    seen = sights.sights(none, world[3])
+    assert centrality.a_choice(seen, seen, none).count() == 0
