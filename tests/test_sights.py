@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline import registry
-from sightline.operators import centrality, graph, isovist, place, routes, sights
+from sightline.operators import centrality, graph, isovist, metrics, place, routes, sights
 from sightline.plans import fixture
 from test_searches import rows
 
@@ -201,3 +201,24 @@ def test_a_choice_of_nothing(world):
     none = world[0].limit(0)
     seen = sights.sights(none, world[3])
     assert centrality.a_choice(seen, seen, none).count() == 0
+
+
+def test_metrics_from_bits(world, monkeypatch):
+    """All columns are those over rows of arcs; none are listed."""
+    c, e, seen, plan = world
+    v = isovist.isovist_vertices(c, plan)
+    table = lambda df: {r.id: {k: v for k, v in r.asDict().items() if v is not None} for r in df.collect()}
+    want = table(metrics.metrics(c, v, e))
+    monkeypatch.setattr(sights.Sights, "edges", None)
+    got = metrics.metrics(c, v, seen)
+    assert got.columns == metrics.COLUMNS and got.schema["degree"].dataType == metrics.metrics(c, v, e).schema["degree"].dataType
+    got = table(got)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-6) for k in want)
+    few = table(metrics.metrics(c, v, seen, only={"degree", "topo_status", "a_choice"}))
+    assert all(few[k] == pytest.approx({m: want[k][m] for m in ("id", "x", "y", "degree", "topo_status", "a_choice")}, rel=1e-9, abs=1e-6) for k in want)
+
+
+def test_metrics_write_no_arcs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "visibility_edges", None)
+    monkeypatch.setattr(sights.Sights, "edges", None)
+    assert registry.QUERIES["metrics_table"](spark, "/root/testdata/sf0.001").count() > 0
