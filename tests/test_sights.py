@@ -222,3 +222,10 @@ def test_metrics_write_no_arcs(spark, monkeypatch):
     monkeypatch.setattr(graph, "visibility_edges", None)
     monkeypatch.setattr(sights.Sights, "edges", None)
     assert registry.QUERIES["metrics_table"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_gate_report_writes_no_arcs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "visibility_edges", None)
+    monkeypatch.setattr(sights.Sights, "edges", None)
+    out = registry.QUERIES["gate_report_full"](spark, "/root/testdata/sf0.001")
+    assert out.count() == fixture.gates(spark, "/root/testdata/sf0.001").count()
