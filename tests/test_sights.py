@@ -229,3 +229,10 @@ def test_gate_report_writes_no_arcs(spark, monkeypatch):
     monkeypatch.setattr(sights.Sights, "edges", None)
     out = registry.QUERIES["gate_report_full"](spark, "/root/testdata/sf0.001")
     assert out.count() == fixture.gates(spark, "/root/testdata/sf0.001").count()
+
+
+def test_heatmaps_write_no_arcs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "visibility_edges", None)
+    monkeypatch.setattr(sights.Sights, "edges", None)
+    out = registry.QUERIES["heatmap_measures"](spark, "/root/testdata/sf0.001")
+    assert {r.measure for r in out.collect()} == set(registry.MEASURES)
