@@ -135,7 +135,7 @@ HOPS = "hops(a, id, d) USING KEY (a, id) AS (SELECT id, id, 0 FROM centres UNION
 @query(f"{FULL}{HOPS} SELECT a AS anchor, id, d AS depth FROM hops")
 def topo_depth(spark, sf_dir):
     c, e = _seen(spark, sf_dir)
-    return graph.depths(e, c).select("anchor", "id", "depth")
+    return graph.hops(e, c)
 
 
 @query(f"{FULL}{HOPS} SELECT a AS id, CAST(sum(d) AS DOUBLE) AS topo_status FROM hops GROUP BY a")
