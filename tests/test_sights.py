@@ -331,3 +331,26 @@ def test_spread():
     at = np.arange(1000.0) * 0.1
     assert sights.Sights(None, at, at, at[::-1]).spread()
     assert not sights.Sights(None, at, np.append(at[:-1], at[3] + 5e-13), np.append(at[:-1], at[3] - 5e-13)).spread()
+
+
+def test_polar_status_lists_no_arcs(monkeypatch, world):
+    """Beyond 16 million arcs ways are searched in the bits; all arcs were written as rows."""
+    c, e, seen, _ = world
+    some, gammas = c.where("id % 3 = 0").cache(), [1.0, 2.6, 0.0, 20.0]
+    expected = rows(centrality.polar_status(e, some, gammas))
+    monkeypatch.setattr(sights.Sights, "edges", None)
+    monkeypatch.setattr(sights.Sights, "count", lambda self: 700_000_000)
+    assert rows(centrality.polar_status(seen, some, gammas)) == expected
+
+
+def test_cheapest_back(monkeypatch):
+    """Equal costs: the earlier round, then the least parent."""
+    n, rng = 90, np.random.default_rng(8)
+    full = np.triu(rng.random((n, n)) < 0.06, 1)
+    bits = sights.Bits(np.arange(n), np.zeros(n), np.zeros(n), [np.packbits(full[i, i >> 3 << 3 :]).tobytes() for i in range(n)])
+    net, table, other = _local.Net.of(bits), rng.integers(0, 3, (n, n)).astype(float), rng.random((n, n))
+    for together in (50, 10**6):
+        monkeypatch.setattr(sights, "TOGETHER", together)
+        for to in range(n):
+            one, two = bits.cheapest_back(to, lambda u, a, b: table[a, b], lambda a, b: other[a, b]), net.cheapest(to, table[net.src, net.dst], back=True, extra=other[net.src, net.dst])
+            assert (one[0] == two[0]).all() and (one[1] == two[2]).all()
